@@ -21,7 +21,7 @@ def hash_cache():
 
     class Cache(dict):
         def __missing__(self, word):
-            if len(self) > 1_000_000:
+            if len(self) > 150_000:
                 self.clear()
             got = self[word] = xxhash.xxh3_64_intdigest(word)
             return got
@@ -46,6 +46,13 @@ def rolling(h, k):
     return finish(out)
 
 
+def pieces(batches, rows=1000):
+    """Arrow batches in smaller slices, so that Python objects of few rows exist at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def as_bytes(column):
     """A string column as Python bytes, nulls as None."""
     return column.cast(pa.binary()).to_pylist()
@@ -82,7 +89,7 @@ def set_rows(batches, schema):
 
     part, count, seen, cache = TaskContext.get().partitionId(), 0, {}, hash_cache()
     mixes = np.array(MIX, np.uint64)[:, None]
-    for batch in batches:
+    for batch in pieces(batches):
         rid, size, dup, toks, mins = [], [], [], [], []
         for text in as_bytes(batch.column(2)):
             me = (part << 40) | count
@@ -127,12 +134,12 @@ def count_rows(batches, buckets):
         full = [i for i in range(buckets) if cut[i + 1] > cut[i]]
         return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([np.sort(q[cut[i] : cut[i + 1]]).tobytes() for i in full], pa.binary())], names=["bucket", "blob"])
 
-    for batch in batches:
+    for batch in pieces(batches):
         for blob in batch.column(0).to_pylist():
             t = unpack48(blob)
             held.append(t[: int(len(t) * PREFIX_SHARE) + 1])
             n += len(held[-1])
-        if n > 4_000_000:
+        if n > 1_500_000:
             yield flush()
             held, n = [], 0
     if held:
@@ -172,7 +179,7 @@ def list_rows(batches, buckets, hot_keys, hot_counts):
         cols = [pa.array([x[k] for x in blobs], pa.binary()) for k in range(4)]
         return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *cols], names=["bucket", "head", "q", "pos", "own"])
 
-    for batch in batches:
+    for batch in pieces(batches):
         for rid, blob, chunk in zip(*(c.to_pylist() for c in batch.columns)):
             t = unpack48(blob)
             k = len(t) - (3 * len(t) + 3) // 4 + 1
@@ -186,7 +193,7 @@ def list_rows(batches, buckets, hot_keys, hot_counts):
             else:
                 held.append((rid, chunk, t[:k], len(t)))
             n += k
-        if n > 3_000_000:
+        if n > 1_000_000:
             yield flush()
             held, n = [], 0
     if held:
@@ -304,10 +311,10 @@ def group_links(ids, sets, n_left, self_too):
             x = parent[x]
         return x
 
-    out, step = [], max(1, 2_000_000 // max(1, n_left * 4))
-    todo = list(range(0 if self_too else n_left, len(sets)))
-    for k in range(0, len(todo), step):
-        some = todo[k : k + step]
+    out, todo = [], np.arange(0 if self_too else n_left, len(sets))
+    # as many sets at a time as keep the expanded matches in bounds
+    part = np.cumsum(sizes[todo]) * n_left // 2_000_000
+    for some in np.split(todo, np.flatnonzero(np.diff(part)) + 1) if len(todo) else ():
         toks = np.concatenate([sets[i] for i in some])
         who = np.repeat(np.arange(len(some)), sizes[some])
         at = np.minimum(np.searchsorted(names, toks), len(names) - 1)
@@ -323,7 +330,7 @@ def group_links(ids, sets, n_left, self_too):
         union = sizes[some][:, None] + lens[None, :] - both
         rows, cols = np.nonzero((100 * both >= 75 * union) & (both > 0))
         for r, c in zip(rows.tolist(), cols.tolist()):
-            a, b = find(some[r]), find(c)
+            a, b = find(int(some[r])), find(c)
             if a != b:
                 parent[max(a, b)] = min(a, b)
                 out.append((ids[some[r]], ids[c]))
@@ -344,7 +351,7 @@ def verify_rows(batches):
         out.extend(group_links(state["ids"], state["sets"], state["left"], state["self"]))
         state.update(ids=state["ids"][: state["left"]], sets=state["sets"][: state["left"]], self=False)
 
-    for batch in batches:
+    for batch in pieces(batches):
         for chunk, salt, role, rid, blob in zip(*(c.to_pylist() for c in batch.columns)):
             if (chunk, salt) != state["key"]:
                 close()
@@ -394,7 +401,7 @@ def repeated_words(h, k=8):
 def quality_rows(batches, schema):
     """(key..., text) -> key columns and the measures."""
     cache = hash_cache()
-    for batch in batches:
+    for batch in pieces(batches):
         rows = []
         for raw in as_bytes(batch.column(batch.num_columns - 1)):
             raw = raw or b""
@@ -485,7 +492,7 @@ def secret_scanner(scope=200):
 
 def secret_rows(batches, schema):
     scan = secret_scanner()
-    for batch in batches:
+    for batch in pieces(batches):
         spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scan(t or "")] for t in batch.column(batch.num_columns - 1).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, schema.field("spans").type)], schema=schema)
 
@@ -493,7 +500,7 @@ def secret_rows(batches, schema):
 def redact_rows(batches, mask):
     """Texts with spans masked, in the column text; other columns as they are."""
     scan = secret_scanner()
-    for batch in batches:
+    for batch in pieces(batches):
         at = batch.schema.get_field_index("text")
         out = []
         for t in batch.column(at).to_pylist():
@@ -608,7 +615,7 @@ def block_rows(batches, buckets, held_out_of):
         cols = list(zip(*rows))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["block", "bucket", "a", "b", "c", "d"])
 
-    for batch in batches:
+    for batch in pieces(batches):
         names, texts, done = batch.column(0).to_pylist(), as_bytes(batch.column(1)), 0
         for i, (name, text) in enumerate(zip(names, texts)):
             words = (text or b"").lower().split()

@@ -123,7 +123,7 @@ def _fill(level: str, above: list[str], weight: str, name: str, parents: str) ->
   coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w_b, sum(w) OVER ({part.replace("BY ", "BY k.").replace(", ", ", k.")}) AS w_all
   FROM {name}_k k JOIN {parents} q ON {join} WINDOW o AS ({("PARTITION BY " + ", ".join("k." + c for c in above)) if above else ""} ORDER BY cap / w, k.{level})),
 {name}_f AS (SELECT *, (budget - cap_b) / (w_all - w_b) AS rate, cap <= (budget - cap_b) / (w_all - w_b) * w AS is_full FROM {name}_s),
-{name}_l AS (SELECT *, min(CASE WHEN NOT is_full THEN rate END) OVER ({part}) AS r FROM {name}_f),
+{name}_l AS (SELECT *, max(CASE WHEN NOT is_full THEN rate END) OVER ({part}) AS r FROM {name}_f),
 {name} AS (SELECT {", ".join(here)}, CAST(CASE WHEN is_full THEN cap ELSE least(cap, floor(r * w)) END AS BIGINT) AS budget FROM {name}_l)"""
 
 
