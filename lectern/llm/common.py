@@ -30,7 +30,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage is cut, lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lectern/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 2000) if int(before) > 0 else 2000))  # long texts: small Arrow buffers
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
