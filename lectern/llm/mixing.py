@@ -18,7 +18,7 @@ from .common import materialize, small, text_hash
 LANG_WEIGHTS = {"en": 40, "de": 20, "fr": 20, "es": 20}
 OTHER_LANG = 10
 LEVELS = ("domain", "lang", "source")
-SHARE_PERCENT, EPOCHS, SEED, RANGE = 60, 2, 17, 20_000
+SHARE_PERCENT, EPOCHS, SEED, RANGE = 60, 2, 17, 2_000
 
 
 def domain_of(source: Column) -> Column:
