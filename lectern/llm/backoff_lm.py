@@ -30,7 +30,8 @@ def lm_scores(docs: DataFrame, mu: float = 20.0, held_out_of: int = 10) -> DataF
     Rows whose crc32(doc_id as text; null as empty) is a multiple of held_out_of are scored but not learned from.  Words are
     runs other than ASCII white space, A-Z lower-cased; an end follows them, so null and empty texts have one token.  Rows
     that repeat are learned from and scored as often as they stand; an empty table gives no rows; other columns are not
-    read.  Words and pairs are told apart by 64-bit hashes cut to 40 bits a bucket.
+    read.  Words are told apart by 64-bit hashes, pairs by 36 bits of a hash
+    within each bucket.
     """
     kind, buckets = docs.schema["doc_id"].dataType, partitions(docs.sparkSession)
     fields = [("doc_id", to_arrow_type(kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]

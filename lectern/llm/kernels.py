@@ -557,14 +557,15 @@ def pair_hashes(pairs, vocab, hashed):
     return finish(hashed[pairs // vocab] * np.uint64(MIX[0]) + hashed[pairs % vocab])
 
 
-def by_bucket(hashed, buckets):
-    """Order of hashes by bucket and 40-bit key, the keys in it and the bounds of the buckets."""
-    b = hashed % np.uint64(buckets)
-    key = (hashed // np.uint64(buckets)) & np.uint64((1 << 40) - 1)
-    full = (b << np.uint64(40)) | key
-    order = np.argsort(full, kind="stable")
-    full = full[order]
-    return order, full & np.uint64((1 << 40) - 1), np.searchsorted(full, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(40))
+#: Bits of a key within its bucket: words keep all of their hash, so counts of words are those of words.
+WORD_BITS, PAIR_BITS = 64, 36
+
+
+def by_bucket(hashed, buckets, bits):
+    """Order of hashes by bucket and key, the keys in it and the bounds of the buckets."""
+    b, key = hashed % np.uint64(buckets), (hashed // np.uint64(buckets)) & np.uint64((1 << bits) - 1)
+    order = np.argsort((b << np.uint64(bits)) | key, kind="stable") if bits + buckets.bit_length() <= 64 else np.lexsort((key, b))
+    return order, key[order], np.searchsorted(b[order], np.arange(buckets + 1, dtype=np.uint64))
 
 
 def ipc(column):
@@ -601,10 +602,10 @@ def block_rows(batches, buckets, held_out_of):
         word_counts = np.bincount(flat[each > 0], minlength=size)
         rows = []
         asks = []
-        for h, c in ((hashed[1:], word_counts[1:]), (pair_hashes(pairs, size, hashed), pair_counts)):
-            order, keys, cut = by_bucket(h, buckets)
+        for h, c, bits in ((hashed[1:], word_counts[1:], WORD_BITS), (pair_hashes(pairs, size, hashed), pair_counts, PAIR_BITS)):
+            order, keys, cut = by_bucket(h, buckets, bits)
             c = c[order]
-            asks.append([(planes(np.diff(keys[a:b], prepend=keys[:0].dtype.type(0)), 5), planes(c[a:b], 4)) for a, b in zip(cut[:-1], cut[1:])])
+            asks.append([(planes(np.diff(keys[a:b], prepend=np.uint64(0)), 8), planes(c[a:b], 4)) for a, b in zip(cut[:-1], cut[1:])])
         block = (part << 32) | serial
         docs = pa.concat_arrays(doc_ids)
         head = ipc(docs)
@@ -639,7 +640,7 @@ def total_rows(table):
     blocks = table.column("block").to_pylist()
     replies, n, v = [], 0, 0
     for keys, counts in (("a", "b"), ("c", "d")):
-        ks = [np.cumsum(unplanes(x, 5)) for x in table.column(keys).to_pylist()]
+        ks = [np.cumsum(unplanes(x, 8)) for x in table.column(keys).to_pylist()]
         cs = np.concatenate([unplanes(x, 4) for x in table.column(counts).to_pylist()]).astype(np.int64)
         k = np.concatenate(ks)
         order = np.argsort(k, kind="stable")
@@ -676,9 +677,9 @@ def score_block(table, schema, buckets, mu):
     total = sum(int.from_bytes(r[3][:8], "little") for r in replies)
     kinds = sum(int.from_bytes(r[3][8:], "little") for r in replies)
     words, seen = np.zeros(size, np.int64), np.zeros(len(pairs), np.int64)
-    order, _, _ = by_bucket(hashed[1:], buckets)
+    order, _, _ = by_bucket(hashed[1:], buckets, WORD_BITS)
     words[1:][order] = np.concatenate([unplanes(r[1], 6) for r in replies]).astype(np.int64)
-    order, _, _ = by_bucket(pair_hashes(pairs, size, hashed), buckets)
+    order, _, _ = by_bucket(pair_hashes(pairs, size, hashed), buckets, PAIR_BITS)
     seen[order] = np.concatenate([unplanes(r[2], 6) for r in replies]).astype(np.int64)
     words[0] = words[1]  # as many starts as ends
     low = (words + 0.1) / (total + 0.1 * (kinds + 1))
