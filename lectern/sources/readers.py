@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.numbers import number, positive, percent, whole
 from ..functions.text import collapse, name_key, nullif_blank
+from ..plans.values import SKIPPED
 
 #: Texts that stand for a missing value in the CSV inputs.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -118,10 +119,6 @@ def worth_fetching(people: DataFrame, count: str = "num_ratings", node: str = "n
 
 # ---------------------------------------------------------------- report grids and comment pages
 
-#: How the first cell of a row starts that is no question.
-SKIPPED = ("enrollment", "completed", "responses", "response rate", "course", "instructor", "term", "section", "question", "total", "mean", "median", "std", "standard deviation", "eval #", "n/a", "count", "scale", "strongly")
-
-
 def numbers_of(cells: Column) -> Column:
     return F.filter(F.transform(cells, lambda c: c.try_cast("double")), lambda v: v.isNotNull())
 
