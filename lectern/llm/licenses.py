@@ -8,10 +8,10 @@ are a fixed table of a few hundred rows, so the join broadcasts it.  All of it i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, text_hash, word_array
+from .common import text_hash, word_array
 
 #: Base phrases and their labels.
 PHRASES = {
@@ -46,15 +46,14 @@ def template_grams(spark: SparkSession) -> DataFrame:
     return table.withColumn("h", F.when(F.size("gram") == 2, F.xxhash64(F.get("gram", F.lit(0)), F.get("gram", F.lit(1)))).otherwise(F.xxhash64(*(F.get("gram", F.lit(i)) for i in range(4)))))
 
 
-def _rolling(words: Column) -> Column:
-    """Hashes of all grams of four words, then of all of two, in one array."""
-
-    def of(k):
-        last = F.size(words) - k
-        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(k))))
-
-    return F.concat(of(4), of(2))
+def _seeds(base: DataFrame) -> DataFrame:
+    """doc_id, tx, p, x (words of the gram), h of all rolling grams.  Words are zipped with their followers and unfolded, so that
+    hashes are computed inside generated code rather than in array lambdas."""
+    after = [F.slice("w", k, F.col("n_words")).alias(f"x{k - 1}") for k in range(2, 5)]
+    each = base.where("n_words > 0").select("doc_id", "tx", F.posexplode(F.arrays_zip(F.col("w").alias("x0"), *after)).alias("p", "x")).select("doc_id", "tx", "p", "x.*")
+    two, four = F.xxhash64("x0", "x1"), F.xxhash64("x0", "x1", "x2", "x3")
+    both = F.array(F.when(F.col("x1").isNotNull(), two), F.when(F.col("x3").isNotNull(), four))
+    return each.select("doc_id", "tx", "p", "x0", "x1", "x2", "x3", F.explode(both).alias("h"))
 
 
 def license_spans(docs: DataFrame) -> DataFrame:
@@ -65,11 +64,9 @@ def license_spans(docs: DataFrame) -> DataFrame:
     """
     base = docs.select("doc_id", text_hash().alias("tx"), word_array(F.col("text")).alias("w"))
     base = base.select("doc_id", "tx", "w", F.size("w").alias("n_words"))
-    fours = F.greatest(F.lit(0), F.col("n_words") - 3)
-    seeds = base.select("doc_id", "tx", "w", fours.alias("fours"), F.posexplode(let(F.col("w"), _rolling)).alias("k", "h"))
-    met = seeds.join(F.broadcast(template_grams(docs.sparkSession)), "h")
-    at = F.when(F.col("k") < F.col("fours"), F.col("k")).otherwise(F.col("k") - F.col("fours"))
-    met = met.withColumn("p", at).where(F.slice("w", F.col("p") + 1, F.size("gram")) == F.col("gram"))
+    met = _seeds(base).join(F.broadcast(template_grams(docs.sparkSession)), "h")
+    same = F.when(F.size("gram") == 2, F.col("gram") == F.array("x0", "x1")).otherwise(F.col("gram") == F.array("x0", "x1", "x2", "x3"))
+    met = met.where(same)
     votes = met.select("doc_id", "tx", "tid", "label", "base", "size", (F.col("p") - F.col("t")).alias("d"), F.col("p").alias("s"), (F.col("p") + F.size("gram")).alias("e"))
     # equal rows of one key vote alike: their votes are one set
     diagonal = votes.groupBy("doc_id", "tx", "tid", "label", "base", "size", "d").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("at"))
