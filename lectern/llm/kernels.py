@@ -446,6 +446,7 @@ def secret_scanner(scope=200):
     """text -> [(start, kind number, end)] sorted."""
     import re
     from bisect import bisect_left, bisect_right
+    from itertools import accumulate
 
     flags = re.ASCII | re.IGNORECASE
     assign, access, hexa = re.compile(ASSIGN, flags), re.compile(ACCESS), re.compile(HEX)
@@ -465,18 +466,22 @@ def secret_scanner(scope=200):
         if found or weak:
             ids = [(m.start(), 3, m.end()) for m in weak_id.finditer(text)]
             ends = [(m.start(), 5, m.end()) for m in endpoint.finditer(text)]
-            weak = [w for w in {*weak, *ids, *ends} if not any(b[0] <= w[0] and w[2] <= b[2] for b in found)]
+            found.sort()
+            reach = list(accumulate((b[2] for b in found), max))  # the furthest end among strong spans so far
+            inside = lambda w: (i := bisect_right(found, (w[0], 9, 0))) > 0 and reach[i - 1] >= w[2]
+            weak = [w for w in {*weak, *ids, *ends} if not inside(w)]
             cuts = [m.start() for m in blank.finditer(text)]
             # parts by role, sorted by start: 0 identifiers, 1 secrets, 2 endpoints
             roles = {0: 1, 1: 0, 2: 1, 3: 0, 4: 1, 5: 2}
             parts = {r: sorted(x for x in [*found, *weak] if roles[x[1]] == r) for r in (0, 1, 2)}
             partners = {0: (1,), 1: (0, 2), 2: (1,)}
+            longest = max(e - s for s, _, e in [*found, *weak])
 
             def beside(w):
                 """Whether a complementary part lies within the scope: an interval join by binary search."""
                 for r in partners[roles[w[1]]]:
                     side = parts[r]
-                    i = bisect_left(side, (w[0] - 4096, -1, -1))
+                    i = bisect_left(side, (w[0] - scope - longest, -1, -1))
                     while i < len(side) and side[i][0] <= w[2] + scope:
                         s, _, e = side[i]
                         if e >= w[0] - scope and (e <= w[0] or s >= w[2]) and bisect_right(cuts, min(s, w[0])) == bisect_right(cuts, max(s, w[0])):
