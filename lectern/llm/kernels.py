@@ -53,6 +53,17 @@ def pieces(batches, rows=1000):
             yield batch.slice(i, rows)
 
 
+def tidy():
+    """Give freed memory back: workers stay for later tasks, and what they keep counts against their executor."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def as_bytes(column):
     """A string column as Python bytes, nulls as None."""
     return column.cast(pa.binary()).to_pylist()
@@ -109,6 +120,8 @@ def set_rows(batches, schema):
                 toks.append(pack48(s))
                 mins.append((s * mixes).min(axis=1).view(np.int64).tolist())
         yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(dup, pa.int64()), pa.array(toks, pa.binary()), pa.array(mins, pa.list_(pa.int64()))], schema=schema)
+    seen = cache = batch = toks = mins = None
+    tidy()
 
 
 def key40(tokens, buckets):
@@ -144,10 +157,13 @@ def count_rows(batches, buckets):
             held, n = [], 0
     if held:
         yield flush()
+    held = None
+    tidy()
 
 
 def frequent(table, least, most):
     """The keys of one bucket counted more than `least` times; the `most` most frequent of them if there are more."""
+    tidy()
     keys, counts = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in table.column(1).to_pylist()]), return_counts=True)
     hot = np.flatnonzero(counts > least)
     if len(hot) > most:
@@ -198,6 +214,8 @@ def list_rows(batches, buckets, hot_keys, hot_counts):
             held, n = [], 0
     if held:
         yield flush()
+    held = None
+    tidy()
 
 
 def need(a, b):
@@ -207,6 +225,7 @@ def need(a, b):
 
 def list_pairs(table, targets):
     """One bucket's lists -> distinct (left chunk, right set) that may hold a link; -1 stands for the chunk itself."""
+    tidy()
     rid, chunk, size, q, pos = [], [], [], [], []
     for head, qs, ps, own in zip(*(table.column(c).to_pylist() for c in ("head", "q", "pos", "own"))):
         k = int.from_bytes(head[:4], "little")
@@ -370,6 +389,7 @@ def verify_rows(batches):
     close()
     if out:
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    tidy()
 
 
 # ---------------------------------------------------------------- op9: quality measures
@@ -415,6 +435,8 @@ def quality_rows(batches, schema):
             rows.append((len(words), len(text) - sum(map(text.count, SPACES)), len(raw) - len(raw.translate(None, b"#*$%&|<>")), dup, repeated_words(hashes(words, cache)), len(seen) + dup))
         cols = list(zip(*rows)) if rows else [[]] * 6
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, pa.int64()) for c in cols)], schema=schema)
+    cache = batch = rows = None
+    tidy()
 
 
 # ---------------------------------------------------------------- op2: secrets
@@ -500,6 +522,7 @@ def secret_rows(batches, schema):
     for batch in pieces(batches):
         spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scan(t or "")] for t in batch.column(batch.num_columns - 1).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, schema.field("spans").type)], schema=schema)
+    tidy()
 
 
 def redact_rows(batches, mask):
@@ -638,10 +661,12 @@ def block_rows(batches, buckets, held_out_of):
             doc_ids.append(batch.column(0).slice(done))
     if lens:
         yield flush()
+    tidy()
 
 
 def total_rows(table):
     """One bucket: totals over all blocks, sent back to each block in the order in which it asked."""
+    tidy()
     blocks = table.column("block").to_pylist()
     replies, n, v = [], 0, 0
     for keys, counts in (("a", "b"), ("c", "d")):
@@ -670,6 +695,7 @@ def score_block(table, schema, buckets, mu):
     States are contexts (the start and each word); an arc leads over a seen pair to the state of its word and weighs its
     smoothed log-probability; the failure arc of a state costs its backoff weight and falls to the word distribution.
     """
+    tidy()
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("bucket", "a", "b", "c", "d"))), key=lambda r: r[0])
     _, head, flat, n, hashed = rows[0]
     replies = rows[1:]
