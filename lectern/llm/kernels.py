@@ -95,31 +95,33 @@ def unpack48(blob):
 
 
 def set_rows(batches, schema):
-    """(doc_id, tx, text) -> rid, doc_id, tx, n, dup_of, toks, mh; a set seen before in this task gets dup_of and no tokens."""
+    """(doc_id, tx, text) -> rid, doc_id, tx, n, dup_of, toks, mh, digest; a set seen before in this task gets dup_of and no tokens."""
     from hashlib import blake2b
 
     part, count, seen, cache = TaskContext.get().partitionId(), 0, {}, hash_cache()
     mixes = np.array(MIX, np.uint64)[:, None]
     for batch in pieces(batches):
-        rid, size, dup, toks, mins = [], [], [], [], []
+        rid, size, dup, toks, mins, digests = [], [], [], [], [], []
         for text in as_bytes(batch.column(2)):
             me = (part << 40) | count
             count += 1
             s = shingle_set(text or b"", cache)
             rid.append(me)
             size.append(len(s))
-            first = None
+            first = digest = None
             if len(s):
-                first = seen.setdefault(blake2b(s.tobytes(), digest_size=16).digest(), me)
+                digest = blake2b(s.tobytes(), digest_size=16).digest()
+                first = seen.setdefault(digest, me)
                 first = None if first == me else first
             dup.append(first)
+            digests.append(digest)
             if not len(s) or first is not None:
                 toks.append(None)
                 mins.append(None)
             else:
                 toks.append(pack48(s))
                 mins.append((s * mixes).min(axis=1).view(np.int64).tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(dup, pa.int64()), pa.array(toks, pa.binary()), pa.array(mins, pa.list_(pa.int64()))], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(dup, pa.int64()), pa.array(toks, pa.binary()), pa.array(mins, pa.list_(pa.int64())), pa.array(digests, pa.binary())], schema=schema)
     seen = cache = batch = toks = mins = None
     tidy()
 

@@ -1,6 +1,7 @@
 """N-gram Jaccard self-join with set-relation skipping.
 
-1. Each text becomes its set of five-word shingles, written once to the shared folder.
+1. Each text becomes its set of five-word shingles, written once to the shared folder.  Of equal sets one goes on, whatever
+   tasks they stand in, so a group of copies costs its digests only.
 2. Shingles of the low part of each set are counted; the frequent ones (a bounded table) come last in the order that
    fixes every set's prefix, so passages that many documents share start no candidate.
 3. Sets that share a minimum under one of six mixes get a common label; labels are cut into chunks of similar sets.
@@ -23,17 +24,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import components, materialize, partitions, small, text_hash, without
+from .common import BROADCAST_ROWS, components, materialize, partitions, small, text_hash, without
 
 #: A shingle in the counted part of more sets than this is frequent; at most FREQUENT of them are kept (8 MB at the driver).
 COMMON, FREQUENT = 8, 1 << 18
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, tx (hash of the text), n, dup_of, toks, mh of each row of docs, as a table in the shared folder."""
+    """rid, doc_id, tx (hash of the text), n, dup_of, toks, mh, digest of each row of docs, as a table in the shared folder."""
     kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc_id", kind), T.StructField("tx", T.LongType()), T.StructField("n", T.LongType()), T.StructField("dup_of", T.LongType()), T.StructField("toks", T.BinaryType()), T.StructField("mh", T.ArrayType(T.LongType()))])
-    arrow = pa.schema([("rid", pa.int64()), ("doc_id", _arrow(kind)), ("tx", pa.int64()), ("n", pa.int64()), ("dup_of", pa.int64()), ("toks", pa.binary()), ("mh", pa.list_(pa.int64()))])
+    schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc_id", kind), T.StructField("tx", T.LongType()), T.StructField("n", T.LongType()), T.StructField("dup_of", T.LongType()), T.StructField("toks", T.BinaryType()), T.StructField("mh", T.ArrayType(T.LongType())), T.StructField("digest", T.BinaryType())])
+    arrow = pa.schema([("rid", pa.int64()), ("doc_id", _arrow(kind)), ("tx", pa.int64()), ("n", pa.int64()), ("dup_of", pa.int64()), ("toks", pa.binary()), ("mh", pa.list_(pa.int64())), ("digest", pa.binary())])
     return materialize(docs.select("doc_id", text_hash().alias("tx"), "text").mapInArrow(lambda it: K.set_rows(it, arrow), schema), "sets")
 
 
@@ -66,11 +67,28 @@ def _chunks(sets: DataFrame) -> DataFrame:
     return materialize(label.join(many, "label").select("rid", chunk.alias("chunk")), "chunks")
 
 
+def _equal(sets: DataFrame) -> DataFrame:
+    """(rid, lead) of the sets that equal one of another task; lead is the smallest rid of them.  Only digests move."""
+    keyed = sets.where("n > 0 and dup_of is null").select("rid", "digest")
+    lead = keyed.groupBy("digest").agg(F.min("rid").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
+    return materialize(keyed.join(lead, "digest").where("rid <> lead").select("rid", "lead"), "equal")
+
+
+def _distinct(sets: DataFrame, equal: DataFrame) -> DataFrame:
+    """The sets with tokens that are not in equal.  Beyond a broadcast they are shuffled once, into a table."""
+    whole, n = sets.where("toks is not null"), equal.count()
+    if not n:
+        return whole
+    left = whole.join(small(equal.select("rid"), n), "rid", "left_anti")
+    return left if n <= BROADCAST_ROWS else materialize(left, "distinct")
+
+
 def links(sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of rids that connect all sets that linked pairs connect: every link lies within a component of them."""
     spark = sets.sparkSession
     buckets = partitions(spark)
-    whole = sets.where("toks is not null")
+    equal = _equal(sets)
+    whole = _distinct(sets, equal)
     hot_keys, hot_counts = _frequent(whole, buckets)
     chunks = _chunks(whole)
     placed = whole.join(small(chunks, chunks.count()), "rid", "left").withColumn("chunk", F.coalesce("chunk", "rid"))
@@ -86,7 +104,7 @@ def links(sets: DataFrame) -> DataFrame:
     own = salts.where("own = 1").select("chunk", F.lit(0).alias("salt"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("rid"), F.lit(None).cast("binary").alias("toks"))
     rows = left.unionByName(right).unionByName(own).repartition(buckets, "chunk", "salt").sortWithinPartitions("chunk", "salt", "role")
     found = rows.select("chunk", "salt", "role", "rid", "toks").mapInArrow(K.verify_rows, "a long, b long")
-    return found.union(sets.where("dup_of is not null").select("rid", "dup_of"))
+    return found.union(sets.where("dup_of is not null").select("rid", "dup_of")).union(equal)
 
 
 def ngram_components(docs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
