@@ -311,11 +311,14 @@ def merge_pairs(table):
     return pa.table({"chunk": pa.array(left, pa.int64()), "rid": pa.array(right, pa.int64())})
 
 
-def group_links(ids, sets, n_left, self_too):
+def group_links(ids, sets, copies, n_left, self_too):
     """Links of left sets with right ones (and among the left), exactly: |r & l| = |r & core| + |r & (l - core)|.
 
     core: tokens that all left sets hold, so their answer is computed once and each set's is derived from it.
+    Gives (a, b, null), pairs that connect all sets that links connect, and (a, null, n): n rows link with a here, as every
+    linked set counts with its copies.
     """
+    copies, degree = np.array(copies, np.int64), np.zeros(len(sets), np.int64)
     sizes = np.array([len(s) for s in sets])
     lens = sizes[:n_left]
     cat = np.concatenate(sets[:n_left])
@@ -350,47 +353,55 @@ def group_links(ids, sets, n_left, self_too):
             both = both + np.bincount(np.repeat(who, reps) * n_left + own[flat], minlength=len(some) * n_left).reshape(len(some), n_left)
         union = sizes[some][:, None] + lens[None, :] - both
         rows, cols = np.nonzero((100 * both >= 75 * union) & (both > 0))
+        whole, far = some[rows], some[rows] >= n_left
+        each = whole != cols
+        np.add.at(degree, whole[each], copies[cols[each]])
+        np.add.at(degree, cols[far], copies[whole[far]])
         for r, c in zip(rows.tolist(), cols.tolist()):
             a, b = find(int(some[r])), find(c)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                out.append((ids[some[r]], ids[c]))
-    return out
+                out.append((ids[some[r]], ids[c], None))
+    return out + [(ids[i], None, int(degree[i])) for i in np.flatnonzero(degree)]
 
 
 def verify_rows(batches):
-    """Rows (chunk, salt, role, rid, toks) sorted by chunk, salt, role: 0 compares the left ones too, 1 left, 2 right -> links a, b."""
-    state = {"key": None, "ids": [], "sets": [], "left": 0, "self": False}
+    """Rows (chunk, salt, role, rid, toks, copies) sorted by chunk, salt, role: 0 compares the left ones too, 1 left, 2 right -> a, b, n."""
+    state = {"key": None, "ids": [], "sets": [], "copies": [], "left": 0, "self": False}
     out = []
 
     def close():
         if state["left"] and (state["self"] and state["left"] > 1 or len(state["ids"]) > state["left"]):
-            out.extend(group_links(state["ids"], state["sets"], state["left"], state["self"]))
+            out.extend(group_links(state["ids"], state["sets"], state["copies"], state["left"], state["self"]))
 
     def trim():
         """Answer the right sets so far; keep the left ones."""
-        out.extend(group_links(state["ids"], state["sets"], state["left"], state["self"]))
-        state.update(ids=state["ids"][: state["left"]], sets=state["sets"][: state["left"]], self=False)
+        out.extend(group_links(state["ids"], state["sets"], state["copies"], state["left"], state["self"]))
+        state.update({k: state[k][: state["left"]] for k in ("ids", "sets", "copies")}, self=False)
+
+    def made():
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["a", "b", "n"])
 
     for batch in pieces(batches):
-        for chunk, salt, role, rid, blob in zip(*(c.to_pylist() for c in batch.columns)):
+        for chunk, salt, role, rid, blob, copies in zip(*(c.to_pylist() for c in batch.columns)):
             if (chunk, salt) != state["key"]:
                 close()
-                state.update(key=(chunk, salt), ids=[], sets=[], left=0, self=False)
+                state.update(key=(chunk, salt), ids=[], sets=[], copies=[], left=0, self=False)
             if role == 0:
                 state["self"] = True
                 continue
             state["ids"].append(rid)
             state["sets"].append(unpack48(blob))
+            state["copies"].append(copies)
             state["left"] += role == 1
             if role == 2 and len(state["ids"]) - state["left"] >= 2048:
                 trim()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            yield made()
             out.clear()
     close()
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        yield made()
     tidy()
 
 

@@ -9,7 +9,8 @@
    (chunks) by the sizes and positions they can still reach.  What is left is pairs (chunk, set), not pairs of sets.
 5. Each (chunk, set) is answered exactly: the count with the chunk's common core is computed once, and each member's
    answer is derived from it by the shingles it holds beyond the core.
-6. Links become components by alternating stars.
+6. Links become components by alternating stars; their numbers are summed by set where they are found, so no pair is
+   written for them.
 
 No step is sampled or capped: the order of shingles, the labels and chunks decide only how much work is done.
 """
@@ -83,15 +84,26 @@ def _distinct(sets: DataFrame, equal: DataFrame) -> DataFrame:
     return left if n <= BROADCAST_ROWS else materialize(left, "distinct")
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rids that connect all sets that linked pairs connect: every link lies within a component of them."""
+def _copies(sets: DataFrame, equal: DataFrame) -> DataFrame:
+    """(rid, copies): the rows that hold an equal set, itself among them, of each set that goes on for more than one."""
+    task = sets.where("n > 0").groupBy(F.coalesce("dup_of", "rid").alias("rid")).agg(F.count("*").alias("c"))
+    all_ = task.join(small(equal, equal.count()), "rid", "left").groupBy(F.coalesce("lead", "rid").alias("rid")).agg(F.sum("c").alias("copies"))
+    return materialize(all_.where("copies > 1"), "copies")
+
+
+def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of rids that connect all sets that linked pairs connect: every link lies within a component of them; and
+    (rid, n_links): the rows that link with the set, of each first set of its kind in a task that has links."""
     spark = sets.sparkSession
     buckets = partitions(spark)
     equal = _equal(sets)
+    copies = _copies(sets, equal)
+    n_copies = copies.count()
     whole = _distinct(sets, equal)
     hot_keys, hot_counts = _frequent(whole, buckets)
     chunks = _chunks(whole)
-    placed = whole.join(small(chunks, chunks.count()), "rid", "left").withColumn("chunk", F.coalesce("chunk", "rid"))
+    places = materialize(chunks.join(copies, "rid", "full_outer"), "places")
+    placed = whole.join(small(places, places.count()), "rid", "left").withColumn("chunk", F.coalesce("chunk", "rid")).withColumn("copies", F.coalesce("copies", F.lit(1)))
     entries = placed.select("rid", "toks", "chunk").mapInArrow(lambda it: K.list_rows(it, buckets, hot_keys, hot_counts), "bucket long, head binary, q binary, pos binary, own binary")
     packed = entries.groupBy("bucket").applyInArrow(lambda t: K.list_pairs(t, buckets), "target long, blob binary")
     pairs = materialize(packed.groupBy("target").applyInArrow(K.merge_pairs, "chunk long, rid long"), "pairs")
@@ -99,32 +111,40 @@ def links(sets: DataFrame) -> DataFrame:
     salts = pairs.groupBy("chunk").agg(F.ceil(F.count("*") / 4096).cast("int").alias("salts"), F.max((F.col("rid") < 0).cast("int")).alias("own"))
     right = pairs.where("rid >= 0").join(salts.select("chunk", "salts"), "chunk")
     right = right.select("rid", F.col("chunk").alias("to"), F.pmod(F.xxhash64("rid"), "salts").cast("int").alias("salt"))
-    right = whole.select("rid", "toks").join(small(right, n), "rid").select(F.col("to").alias("chunk"), "salt", F.lit(2).alias("role"), "rid", "toks")
-    left = placed.select("rid", "toks", "chunk").join(small(salts, n), "chunk").select("chunk", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(1).alias("role"), "rid", "toks")
-    own = salts.where("own = 1").select("chunk", F.lit(0).alias("salt"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("rid"), F.lit(None).cast("binary").alias("toks"))
+    right = right.join(small(copies, n_copies), "rid", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    right = whole.select("rid", "toks").join(small(right, n), "rid").select(F.col("to").alias("chunk"), "salt", F.lit(2).alias("role"), "rid", "toks", "copies")
+    left = placed.select("rid", "toks", "chunk", "copies").join(small(salts, n), "chunk").select("chunk", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(1).alias("role"), "rid", "toks", "copies")
+    own = salts.where("own = 1").select("chunk", F.lit(0).alias("salt"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("rid"), F.lit(None).cast("binary").alias("toks"), F.lit(0).cast("long").alias("copies"))
     rows = left.unionByName(right).unionByName(own).repartition(buckets, "chunk", "salt").sortWithinPartitions("chunk", "salt", "role")
-    found = rows.select("chunk", "salt", "role", "rid", "toks").mapInArrow(K.verify_rows, "a long, b long")
-    return found.union(sets.where("dup_of is not null").select("rid", "dup_of")).union(equal)
+    found = materialize(rows.select("chunk", "salt", "role", "rid", "toks", "copies").mapInArrow(K.verify_rows, "a long, b long, n long"), "found")
+    edges = found.where("b is not null").select("a", "b").union(sets.where("dup_of is not null").select("rid", "dup_of")).union(equal)
+    counts = found.where("b is null").select(F.col("a").alias("rid"), "n").union(copies.select("rid", F.col("copies") - 1))
+    degrees = counts.groupBy("rid").agg(F.sum("n").alias("n_links"))
+    others = equal.join(degrees.withColumnRenamed("rid", "lead"), "lead").select("rid", "n_links")
+    return edges, degrees.union(others)
 
 
 def ngram_components(docs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, rid.
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, n_links, rid.
 
     Words are runs other than ASCII white space, A-Z lower-cased; a set holds the distinct five-word shingles, a shorter
     text's whole sequence, and nothing for null or wordless text, which links with nothing.  Rows link when
-    100 * intersection >= 75 * union.  component_id is the smallest doc_id reachable (null ids do not count; a component
+    100 * intersection >= 75 * union.  n_links counts the other rows that a row
+    links with, equal ones too.  component_id is the smallest doc_id reachable (null ids do not count; a component
     of null ids has null).  Rows that repeat, ids that repeat and null ids are rows of their own.  An empty table gives
     none.  Only doc_id and text are read, so other columns may have any name.  Sets hold 48-bit hashes of shingles: two
     different shingles of a compared pair agree with a chance of about n * n / 2.8e14.
     """
     sets = shingle_sets(docs) if sets is None else sets
-    roots = materialize(components(links(sets)), "roots")
+    edges, degrees = links(sets)
+    roots = materialize(components(edges), "roots")
     n = roots.count()
-    named = sets.select("rid", "doc_id", "tx", "n").join(small(roots.select(F.col("node").alias("rid"), "root"), n), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    named = sets.select("rid", "doc_id", "tx", "n", F.coalesce("dup_of", "rid").alias("first")).join(small(roots.select(F.col("node").alias("rid"), "root"), n), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     linked = roots.union(roots.select("root", "root").distinct()).toDF("rid", "root")
     least = sets.select("rid", "doc_id").join(small(linked, 2 * n), "rid").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = named.join(small(least, n), "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "rid", "root", "tx")
+    # only sets of roots have links
+    out = named.join(small(least, n), "root", "left").join(small(degrees.withColumnRenamed("rid", "first"), 2 * n), "first", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "rid", "root", "tx")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return ngram_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,15 @@ def test_ngram_join_awkward(awkward, awkward_rows):
     assert key(got) == key(brute_components([r[:2] for r in awkward_rows]))
 
 
+def test_ngram_join_counts_links(families, awkward, awkward_rows):
+    for df, rows in ((families, [(r.doc_id, r.text) for r in families.collect()]), (awkward, [r[:2] for r in awkward_rows])):
+        sets = [shingles(t) for _, t in rows]
+        linked = lambda a, b: bool(n := len(a & b)) and 100 * n >= 75 * (len(a) + len(b) - n)
+        want = [(d, sum(linked(s, o) for j, o in enumerate(sets) if j != i)) for i, ((d, _), s) in enumerate(zip(rows, sets))]
+        got = [(r.doc_id, r.n_links) for r in ngram_join.ngram_components(df).collect()]
+        assert key(got) == key(want) and max(n for _, n in want) > 2
+
+
 def test_keep_one(awkward, awkward_rows):
     kept = ngram_join.keep_one(awkward)
     assert kept.columns == awkward.columns
