@@ -757,17 +757,19 @@ def url_features(urls, hosts, paths, suffix_rate):
     return np.column_stack([x, np.asarray(suffix_rate, float)])
 
 
-def fit_trees(x, y, trees, depth, rate, bins):
-    """Boosted trees for the log-loss on binned features: (start, edges, [levels of (feature, bin)], [leaf values]) ."""
+def fit_trees(x, y, trees, depth, rate, bins, weights=None):
+    """Boosted trees for the log-loss, of rows by weight, on binned features: (start, edges, [levels of (feature, bin)], [leaf values]) ."""
     if not len(y) or y.min() == y.max():
         return (float("-inf") if not len(y) or y[0] == 0 else float("inf"), [], [], [])
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
     b = np.stack([np.searchsorted(e, c, side="right") for e, c in zip(edges, x.T)], axis=1)
-    start = float(np.log(y.mean() / (1 - y.mean())))
+    each = np.ones(len(y)) if weights is None else weights * (len(y) / weights.sum())
+    mean = np.average(y, weights=each)
+    start = float(np.log(mean / (1 - mean)))
     f, out, values = np.full(len(y), start), [], []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-f))
-        g, w = y - p, np.maximum(p * (1 - p), 1e-6)
+        g, w = each * (y - p), each * np.maximum(p * (1 - p), 1e-6)
         node, splits = np.zeros(len(y), np.int64), []
         for d in range(depth):
             nodes = 1 << d

@@ -1,7 +1,8 @@
 """URL filters: rules first, gradient-boosted trees on lexical features for the rest.
 
 URLs that a rule judges are the labelled ones.  Statistics of suffixes count all of them; the trees are fitted on a sample of
-at most SAMPLE labelled URLs (those with the smallest hashes), and the fitted trees judge every URL that no rule fits.
+at most SAMPLE distinct labelled URLs (of each verdict those with the smallest hashes, half the places each, free ones to the
+other), which weigh as many rows as they stand for, and the fitted trees judge every URL that no rule fits.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import kernels as K
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, materialize
 
 #: Fixed values: (host, path prefix, verdict).
 RULES = (
@@ -58,6 +59,23 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     return parts.join(stats, "suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(0.5))).drop("suffix")
 
 
+def _sample(rows: DataFrame, sample: int) -> tuple[list, np.ndarray]:
+    """At most sample distinct labelled URLs, and the rows each stands for: its own times the share of its verdict's rows in all
+    to those in the sample."""
+    columns = ["url", "host", "path", "suffix_rate", "label"]
+    each = materialize(rows.where("label is not null").groupBy(*columns).agg(F.count("*").alias("n")), "labelled")
+    blocked = F.col("label") == "block"
+    total = {r.blocked: r.n for r in each.groupBy(blocked.alias("blocked")).agg(F.sum("n").alias("n")).collect()}
+    found = {v: each.where(blocked == v).orderBy(F.xxhash64("url"), "url").limit(sample).collect() for v in (False, True)}
+    picked, weights = [], []
+    for v, most in ((v, max(sample // 2, sample - len(found[not v]))) for v in (False, True)):
+        some = found[v][:most]
+        held = sum(r.n for r in some)
+        picked += some
+        weights += [r.n * total[v] / held for r in some]
+    return picked, np.array(weights, float)
+
+
 def url_verdicts(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     """page_id, host, path, rule, verdict, p_block of each row of pages (page_id, url).
 
@@ -68,10 +86,10 @@ def url_verdicts(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFra
     """
     kind = pages.schema["page_id"].dataType
     rows = judged(pages, rules)
-    picked = rows.where("label is not null").select("url", "host", "path", "suffix_rate", "label").orderBy(F.xxhash64("url"), "url").limit(sample).collect()
+    picked, weights = _sample(rows, sample)
     x = K.url_features([r.url for r in picked], [r.host for r in picked], [r.path for r in picked], np.array([r.suffix_rate for r in picked], float))
     y = np.array([r.label == "block" for r in picked], float)
-    model = K.fit_trees(x, y, TREES, DEPTH, RATE, BINS)
+    model = K.fit_trees(x, y, TREES, DEPTH, RATE, BINS, weights)
     arrow = pa.schema([("page_id", to_arrow_type(kind)), *((c, pa.string()) for c in ("host", "path", "rule", "verdict")), ("p_block", pa.float64())])
     schema = T.StructType([T.StructField("page_id", kind), *(T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")), T.StructField("p_block", T.DoubleType())])
     return rows.select("page_id", "url", "host", "path", "rule", "label", "suffix_rate").mapInArrow(lambda it: K.url_rows(it, model, arrow), schema)

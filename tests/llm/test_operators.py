@@ -216,6 +216,19 @@ def test_url_verdicts(spark):
     assert url_filter.url_verdicts(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_sample_holds_distinct_urls(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(20_000)
+    hot = ids.select(F.concat(F.lit("http://h.net/"), "id").alias("u")).orderBy(F.xxhash64("u")).first().u
+    allowed = [f"http://example.net/en/{i}" for i in range(40)]
+    rows = list(enumerate([hot] * 300 + allowed + [f"https://other.org/en/{i}" for i in range(20)]))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    assert pages.orderBy(F.xxhash64("url")).where("url like '%net/%'").first().url == hot
+    got = url_filter.url_verdicts(pages, sample=30).where("rule is null").collect()
+    assert len(got) == 20 and all(0 < r.p_block < 1 for r in got)
+
+
 def test_url_trees_on_held_out():
     import numpy as np
 
