@@ -223,8 +223,7 @@ def search_code(spark: SparkSession, d: str) -> DataFrame:
     code, q = F.lower("p_brand"), "brand#1"
     rows = Tables(spark, d).part.select("p_partkey", "p_brand", "p_name")
     tests = [F.startswith(code, F.lit(q)), F.contains(code, F.lit("#2")), F.contains(F.lower("p_name"), F.lit("o"))]
-    limit = 10_000_000
-    return O.tiered_top(rows, tests, [F.col("p_partkey")], limit).groupBy("tier").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
+    return rows.withColumn("tier", O.tier(tests)).where("tier is not null").groupBy("tier").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
 
 
 def review_list(spark: SparkSession, d: str) -> DataFrame:

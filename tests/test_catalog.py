@@ -37,3 +37,8 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns
     want = sorted(tuple(norm(r[names.index(c)]) for c in columns) for r in found.fetchall())
     assert rows == want and rows
+
+
+def test_search_code_counts_all_rows(spark):
+    plan = QUERIES["search_code"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "Sort" not in plan
