@@ -461,7 +461,7 @@ HEX = r"[0-9a-f]{32,}"
 #: Weak parts of a credential: reported only beside a complementary part.
 WEAK_ID = r"""\b(?:access_?key_?id|client_?id|app_?id|account|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+_.-]{3,}"""
 WEAK_KEY = r"""\b(?:pwd|pass(?:phrase)?|auth|credentials?|client_?secret|private_?key|access_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}"""
-OPAQUE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,128}(?![A-Za-z0-9+/_-])"
+OPAQUE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}(?![A-Za-z0-9+/_-])"
 ENDPOINT = r"""\b(?:[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{4,}|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}(?::\d+)?)"""
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
 

@@ -125,6 +125,18 @@ def test_secret_spans(spark, awkward):
     assert "abcdefgh1" not in masked[0] and masked[6] == SECRETS[6] and masked[12] is None
 
 
+def test_secret_of_any_length():
+    import random
+
+    from lectern.llm import kernels as K
+
+    rng = random.Random(4)
+    for n in (128, 129, 3000):
+        token = "aB3" + "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n - 3))
+        found = K.secret_scanner()("client_id=abc123 " + token + " end")
+        assert (17, K.KINDS.index("key"), 17 + n) in found and len(found) == 2
+
+
 # ---------------------------------------------------------------- 3
 
 
