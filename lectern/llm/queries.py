@@ -100,12 +100,11 @@ OP7_SQL = rf"""
 WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 e AS (SELECT doc_id, i - 1 AS line, ls[i] AS x FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM s)),
 k AS (SELECT doc_id, line, x, {_TOKENS.format(x="x")} AS w FROM e),
-p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS pos, sum(w) OVER (PARTITION BY doc_id ORDER BY line) AS upto FROM k WHERE w > 0),
-r AS (SELECT a.doc_id, a.pos, min(b.pos) AS last FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.pos < a.pos + {MIN_WORDS}
-      AND b.upto - a.upto + a.w >= {MIN_WORDS} GROUP BY ALL),
-t AS (SELECT r.doc_id, r.pos, r.last, string_agg(p.x, chr(10) ORDER BY p.pos) AS run FROM r JOIN p ON p.doc_id = r.doc_id AND p.pos BETWEEN r.pos AND r.last GROUP BY ALL),
-n AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS c FROM t),
-g AS (SELECT DISTINCT n.doc_id, p.line FROM n JOIN p ON p.doc_id = n.doc_id AND p.pos BETWEEN n.pos AND n.last WHERE c > 1),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS pos FROM k WHERE w > 0),
+m AS (SELECT a.doc_id AS a_id, b.doc_id AS b_id, a.pos AS a_pos, b.pos AS b_pos, b.line, b.w FROM p a JOIN p b ON a.x = b.x AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.pos < b.pos)),
+i AS (SELECT *, a_pos - row_number() OVER (PARTITION BY a_id, b_id, b_pos - a_pos ORDER BY a_pos) AS run FROM m),
+t AS (SELECT b_id, line, sum(w) OVER (PARTITION BY a_id, b_id, b_pos - a_pos, run) AS words FROM i),
+g AS (SELECT DISTINCT b_id AS doc_id, line FROM t WHERE words >= {MIN_WORDS}),
 l AS (SELECT doc_id, count(*) AS n_removed, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS removed FROM g GROUP BY doc_id)
 SELECT s.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed
 FROM s LEFT JOIN l USING (doc_id)
