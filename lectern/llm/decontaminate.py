@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, let, materialize, text_hash, without, word_array
+from .common import SEPARATORS, freed, held, let, materialize, text_hash, without, word_array
 
 WINDOW, BLOCK_WINDOWS = 13, 200_000
 
@@ -94,17 +94,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, mode:
     """docs, columns unchanged, without contaminated rows (mode "documents"), or with the hit words of contaminated rows cut
     from their text (mode "spans"), each with the separators that follow it."""
     if mode == "documents":
-        bad = contamination(docs, items, window).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("tx").alias("__tx"))
-        return without(docs, bad)
+        return without(docs, contamination(docs, items, window).where("contaminated").select(F.col("doc_id").alias("id"), "tx"))
     per = hits(docs, items, window).where(F.size("spans") > 0).withColumn("n", covered(F.col("spans"))).where("20 * n >= n_words")
-    bad = per.select(F.col("doc_id").alias("__id"), F.col("tx").alias("__tx"), F.col("spans").alias("__spans"))
-    keyed = docs.withColumn("__ty", text_hash())
-    both = keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["__id"]) & (keyed["__ty"] == bad["__tx"]), "left")
+    bad = per.select(F.col("doc_id").alias("id"), "tx", "spans")
+    rows = held(docs).withColumn("tz", text_hash("row.text"))
+    both = rows.join(bad, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("tz") == F.col("tx")), "left")
     own = SEPARATORS.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
-    words = F.array_remove(F.split(F.col("text"), own), "")
-    gaps = F.split(F.col("text"), own.replace("[", "[^", 1))  # what stands before, between and after the words
-    piece = lambda w, i: F.when(F.exists("__spans", lambda x: (x["s"] <= i) & (i < x["e"])), F.lit("")).otherwise(F.concat(w, F.coalesce(F.get("__gaps", i + 1), F.lit(""))))
-    cut = F.concat(F.coalesce(F.get("__gaps", F.lit(0)), F.lit("")), F.array_join(F.transform("__words", piece), ""))
-    made = both.withColumn("__words", words).withColumn("__gaps", gaps).withColumn("text", F.when(F.col("__spans").isNotNull(), cut).otherwise(F.col("text")))
-    return made.select(*[f"`{c}`" for c in docs.columns])
-
+    words = F.array_remove(F.split("row.text", own), "")
+    gaps = F.split("row.text", own.replace("[", "[^", 1))  # what stands before, between and after the words
+    piece = lambda w, i: F.when(F.exists("spans", lambda x: (x["s"] <= i) & (i < x["e"])), F.lit("")).otherwise(F.concat(w, F.coalesce(F.get("gaps", i + 1), F.lit(""))))
+    cut = F.concat(F.coalesce(F.get("gaps", F.lit(0)), F.lit("")), F.array_join(F.transform("words", piece), ""))
+    made = both.withColumn("words", words).withColumn("gaps", gaps)
+    return freed(made, docs.columns, text=F.when(F.col("spans").isNotNull(), cut).otherwise(F.col("row.text")))

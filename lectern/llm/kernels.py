@@ -12,7 +12,7 @@ from pyspark import TaskContext, cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
-SHINGLE, PREFIX_SHARE, LONG_LIST, CHUNK = 5, 0.3, 64, 256
+SHINGLE, PREFIX_SHARE, LONG_LIST, CHUNK, PAIRS = 5, 0.3, 64, 256, 2_000_000
 
 
 def hash_cache():
@@ -243,14 +243,22 @@ def list_pairs(table, targets):
     qs = q[order]
     start = np.flatnonzero(np.r_[True, qs[1:] != qs[:-1]])
     length = np.diff(np.r_[start, len(qs)])
-    lefts, rights = [], []
+    lefts, rights, new = [], [], 0
+
+    def keep(left, right):
+        """Collect pairs; they are made distinct whenever as many came as PAIRS, so repeats never pile up."""
+        nonlocal lefts, rights, new
+        lefts.append(left)
+        rights.append(right)
+        new += len(left)
+        if new > PAIRS:
+            left, right = unique_pairs(np.concatenate(lefts), np.concatenate(rights))
+            lefts, rights, new = [left], [right], 0
 
     def add(ca, ra, cb, rb):
         """Pairs of sets: the smaller chunk id is the left one."""
         swap = ca > cb
-        left, right = np.where(swap, cb, ca), np.where(swap, ra, rb)
-        lefts.append(left)
-        rights.append(np.where(ca == cb, -1, right))
+        keep(np.where(swap, cb, ca), np.where(ca == cb, -1, np.where(swap, ra, rb)))
 
     # short lists: all pairs at distance 1, 2, ... in order of size, until sizes are too far apart
     short = np.repeat((length > 1) & (length <= LONG_LIST), length)
@@ -279,8 +287,7 @@ def list_pairs(table, targets):
             ok = (block >= i) & (4 * n >= 3 * lo[i]) & (3 * n <= 4 * hi[i]) & (np.minimum(rest[i], left) >= need(lo[i], n))
             if block[ok].size and not (np.count_nonzero(block == i) == 1 and np.array_equal(np.flatnonzero(ok), np.flatnonzero(block == i))):
                 cb = c[ok]
-                lefts.append(np.full(len(cb), names[i]))
-                rights.append(np.where(cb == names[i], -1, r[ok]))
+                keep(np.full(len(cb), names[i]), np.where(cb == names[i], -1, r[ok]))
     if not lefts:
         return pa.table({"target": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
     return pack_pairs(np.concatenate(lefts), np.concatenate(rights), targets)
@@ -311,22 +318,75 @@ def merge_pairs(table):
     return pa.table({"chunk": pa.array(left, pa.int64()), "rid": pa.array(right, pa.int64())})
 
 
+def typical(sets):
+    """The set that differs least from all of them: the fewest sum of differing tokens."""
+    if len(sets) == 1:
+        return 0
+    cat, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, inner, held = np.unique(cat, return_inverse=True, return_counts=True)
+    return int(np.bincount(own, len(sets) - 2.0 * held[inner], len(sets)).argmin())
+
+
+class Derived:
+    """Answers of similar left sets: the intersections of any set with each of them, derived from that with the typical one.
+
+    |r & l| = |r & t| + |r & (l - t)| - |r & (t - l)|.  Where l and t differ in more tokens than l has, the answer is computed
+    from l's tokens alone.
+    """
+
+    def __init__(self, left):
+        self.n, self.base = len(left), left[typical(left)]
+        self.sizes = np.array([len(s) for s in left])
+        self.derived = np.ones(self.n, bool)
+        toks, who, sign = [], [], []
+        for i, s in enumerate(left):
+            if s is self.base:
+                continue
+            at = np.searchsorted(self.base, s)
+            at[at == len(self.base)] = 0
+            same = self.base[at] == s
+            lost = np.ones(len(self.base), bool)
+            lost[at[same]] = False
+            self.derived[i] = len(s) - 2 * same.sum() + len(self.base) <= len(s)
+            parts = ((s[~same], 1), (self.base[lost], -1)) if self.derived[i] else ((s, 1),)
+            for part, sgn in parts:
+                toks.append(part)
+                who.append(np.full(len(part), i))
+                sign.append(np.full(len(part), sgn))
+        toks, self.who, self.sign = (np.concatenate(x) if x else np.zeros(0, d) for x, d in ((toks, np.uint64), (who, np.int64), (sign, np.int64)))
+        o = np.argsort(toks, kind="stable")
+        toks, self.who, self.sign = toks[o], self.who[o], self.sign[o]
+        self.start = np.flatnonzero(np.r_[True, toks[1:] != toks[:-1]]) if len(toks) else np.zeros(0, np.int64)
+        self.names, self.held = toks[self.start], np.diff(np.r_[self.start, len(toks)])
+
+    def answers(self, sets):
+        """Matrix of the intersections of sets (rows) with the left ones (columns)."""
+        toks, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(self.base, toks), len(self.base) - 1)
+        base = np.bincount(of[self.base[at] == toks], minlength=len(sets))
+        both = base[:, None] * self.derived[None, :]
+        if len(self.names):
+            at = np.minimum(np.searchsorted(self.names, toks), len(self.names) - 1)
+            hit = self.names[at] == toks
+            at, of = at[hit], of[hit]
+            reps = self.held[at]
+            if len(at):
+                flat = np.repeat(self.start[at] - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(reps.sum())
+                cell = np.repeat(of, reps) * self.n + self.who[flat]
+                both = both + np.bincount(cell, self.sign[flat], len(sets) * self.n).reshape(len(sets), self.n).astype(np.int64)
+        return both
+
+
 def group_links(ids, sets, copies, n_left, self_too):
-    """Links of left sets with right ones (and among the left), exactly: |r & l| = |r & core| + |r & (l - core)|.
+    """Links of left sets with right ones (and among the left), exactly.
 
-    core: tokens that all left sets hold, so their answer is computed once and each set's is derived from it.
     Gives (a, b, null), pairs that connect all sets that links connect, and (a, null, n): n rows link with a here, as every
     linked set counts with its copies.
     """
     copies, degree = np.array(copies, np.int64), np.zeros(len(sets), np.int64)
     sizes = np.array([len(s) for s in sets])
     lens = sizes[:n_left]
-    cat = np.concatenate(sets[:n_left])
-    own = np.repeat(np.arange(n_left), lens)
-    o = np.argsort(cat, kind="stable")
-    cat, own = cat[o], own[o]
-    start = np.flatnonzero(np.r_[True, cat[1:] != cat[:-1]])
-    names, held = cat[start], np.diff(np.r_[start, len(cat)])
+    left = Derived(sets[:n_left])
     parent = {}
 
     def find(x):
@@ -339,18 +399,7 @@ def group_links(ids, sets, copies, n_left, self_too):
     # as many sets at a time as keep the expanded matches in bounds
     part = np.cumsum(sizes[todo]) * n_left // 2_000_000
     for some in np.split(todo, np.flatnonzero(np.diff(part)) + 1) if len(todo) else ():
-        toks = np.concatenate([sets[i] for i in some])
-        who = np.repeat(np.arange(len(some)), sizes[some])
-        at = np.minimum(np.searchsorted(names, toks), len(names) - 1)
-        hit = names[at] == toks
-        at, who = at[hit], who[hit]
-        core = held[at] == n_left
-        both = np.repeat(np.bincount(who[core], minlength=len(some))[:, None], n_left, axis=1)
-        at, who = at[~core], who[~core]
-        reps = held[at]
-        if len(at):
-            flat = np.repeat(start[at] - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(reps.sum())
-            both = both + np.bincount(np.repeat(who, reps) * n_left + own[flat], minlength=len(some) * n_left).reshape(len(some), n_left)
+        both = left.answers([sets[i] for i in some])
         union = sizes[some][:, None] + lens[None, :] - both
         rows, cols = np.nonzero((100 * both >= 75 * union) & (both > 0))
         whole, far = some[rows], some[rows] >= n_left
@@ -365,28 +414,27 @@ def group_links(ids, sets, copies, n_left, self_too):
     return out + [(ids[i], None, int(degree[i])) for i in np.flatnonzero(degree)]
 
 
+#: Right sets and tokens held at a time beside a chunk's own.
+RIGHT_SETS, RIGHT_TOKENS = 2048, 1 << 21
+
+
 def verify_rows(batches):
     """Rows (chunk, salt, role, rid, toks, copies) sorted by chunk, salt, role: 0 compares the left ones too, 1 left, 2 right -> a, b, n."""
-    state = {"key": None, "ids": [], "sets": [], "copies": [], "left": 0, "self": False}
+    state = {"key": None, "ids": [], "sets": [], "copies": [], "left": 0, "self": False, "right": 0}
     out = []
 
-    def close():
+    def answer():
         if state["left"] and (state["self"] and state["left"] > 1 or len(state["ids"]) > state["left"]):
             out.extend(group_links(state["ids"], state["sets"], state["copies"], state["left"], state["self"]))
 
-    def trim():
-        """Answer the right sets so far; keep the left ones."""
-        out.extend(group_links(state["ids"], state["sets"], state["copies"], state["left"], state["self"]))
-        state.update({k: state[k][: state["left"]] for k in ("ids", "sets", "copies")}, self=False)
-
     def made():
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["a", "b", "n"])
 
-    for batch in pieces(batches):
+    for batch in pieces(batches, 200):
         for chunk, salt, role, rid, blob, copies in zip(*(c.to_pylist() for c in batch.columns)):
             if (chunk, salt) != state["key"]:
-                close()
-                state.update(key=(chunk, salt), ids=[], sets=[], copies=[], left=0, self=False)
+                answer()
+                state.update(key=(chunk, salt), ids=[], sets=[], copies=[], left=0, self=False, right=0)
             if role == 0:
                 state["self"] = True
                 continue
@@ -394,12 +442,14 @@ def verify_rows(batches):
             state["sets"].append(unpack48(blob))
             state["copies"].append(copies)
             state["left"] += role == 1
-            if role == 2 and len(state["ids"]) - state["left"] >= 2048:
-                trim()
+            state["right"] += (role == 2) * len(state["sets"][-1])
+            if role == 2 and (len(state["ids"]) - state["left"] >= RIGHT_SETS or state["right"] >= RIGHT_TOKENS):
+                answer()  # the right sets so far; the left ones stay
+                state.update({k: state[k][: state["left"]] for k in ("ids", "sets", "copies")}, self=False, right=0)
         if out:
             yield made()
             out.clear()
-    close()
+    answer()
     if out:
         yield made()
     tidy()

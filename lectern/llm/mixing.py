@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small, text_hash
+from .common import freed, held, materialize, sized, small, text_hash
 
 #: Weights of languages; whatever is not named weighs 10, every domain and source weighs 1.
 LANG_WEIGHTS = {"en": 40, "de": 20, "fr": 20, "es": 20}
@@ -86,18 +86,18 @@ def mixture(docs: DataFrame, share: int = SHARE_PERCENT, epochs: int = EPOCHS, s
     plan = leaf_budgets(leaves, share, epochs)
     plan = plan.withColumn("leaf", F.xxhash64(*LEVELS)).withColumn("whole", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("int"))
     plan = plan.withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens")).withColumn("ranges", F.ceil(F.col("rows") / RANGE).cast("int"))
-    plan = materialize(plan.select(*(F.col(c).alias(f"p_{c}") for c in LEVELS), "leaf", "whole", "rest", "ranges"), "budgets")
+    plan, size = sized(plan.select(*(F.col(c).alias(f"p_{c}") for c in LEVELS), "leaf", "whole", "rest", "ranges"), "budgets")
     on = None
     for c in LEVELS:
         same = F.col(c).eqNullSafe(F.col(f"p_{c}"))
         on = same if on is None else on & same
-    rows = base.join(small(plan, plan.count()), on).drop(*(f"p_{c}" for c in LEVELS))
+    rows = base.join(small(plan, size), on).drop(*(f"p_{c}" for c in LEVELS))
     rows = rows.withColumn("o", order_hash(seed, F.col("whole")))
     rows = rows.withColumn("range", F.floor(F.conv(F.substring("o", 1, 8), 16, 10).cast("long") * F.col("ranges") / F.lit(1 << 32)).cast("int"))
     sums = rows.groupBy("leaf", "range").agg(F.sum("n_tokens").alias("t"))
     run = Window.partitionBy("leaf").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = materialize(sums.withColumn("before", F.coalesce(F.sum("t").over(run), F.lit(0))), "ranges").withColumnsRenamed({"leaf": "r_leaf", "range": "r_range"})
-    rows = rows.join(small(sums, sums.count()), (F.col("leaf") == F.col("r_leaf")) & (F.col("range") == F.col("r_range"))).drop("r_leaf", "r_range")
+    sums, size = sized(sums.withColumn("before", F.coalesce(F.sum("t").over(run), F.lit(0))), "ranges")
+    rows = rows.join(small(sums.withColumnsRenamed({"leaf": "r_leaf", "range": "r_range"}), size), (F.col("leaf") == F.col("r_leaf")) & (F.col("range") == F.col("r_range"))).drop("r_leaf", "r_range")
     inside = F.col("before") + F.col("t") <= F.col("rest")
     cut = rows.where(~inside & (F.col("before") <= F.col("rest")))
     in_range = Window.partitionBy("leaf", "range").orderBy("o", "doc_id", "tx").rowsBetween(Window.unboundedPreceding, 0)
@@ -110,13 +110,12 @@ def mixture(docs: DataFrame, share: int = SHARE_PERCENT, epochs: int = EPOCHS, s
 def take_mixture(docs: DataFrame, share: int = SHARE_PERCENT, epochs: int = 1, seed: int = SEED) -> DataFrame:
     """The rows of docs, columns unchanged, that the mixture takes, as often as it takes them.  Equal rows with one id are
     told apart by their place among equals, so each is taken or left by itself."""
-    taken = mixture(docs, share, epochs, seed).groupBy(F.col("doc_id").alias("__id"), F.col("tx").alias("__tx")).agg(F.count("*").alias("__n"))
-    taken = materialize(taken, "taken")
-    keyed = docs.withColumn("__ty", text_hash())
-    both = keyed.join(small(taken, taken.count()), keyed["doc_id"].eqNullSafe(taken["__id"]) & (keyed["__ty"] == taken["__tx"]))
-    if keyed.groupBy("doc_id", "__ty").agg(F.count("*").alias("__c")).where("__c > 1").limit(1).count():
-        rank = F.row_number().over(Window.partitionBy("__ty", "doc_id").orderBy("__ty"))
-        size = F.count("*").over(Window.partitionBy("__ty", "doc_id"))
-        both = both.withColumn("__n", F.floor((F.col("__n") + size - rank) / size))  # dealt to the equal rows in turn
-    out = both.where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    taken = mixture(docs, share, epochs, seed).groupBy(F.col("doc_id").alias("id"), "tx").agg(F.count("*").alias("n"))
+    taken, size = sized(taken, "taken")
+    rows = held(docs).withColumns({"own": F.col("row.doc_id"), "tz": text_hash("row.text")})
+    both = rows.join(small(taken, size), F.col("own").eqNullSafe(F.col("id")) & (F.col("tz") == F.col("tx")))
+    if rows.groupBy("own", "tz").agg(F.count("*").alias("c")).where("c > 1").limit(1).count():
+        rank = F.row_number().over(Window.partitionBy("tz", "own").orderBy("tz"))
+        size = F.count("*").over(Window.partitionBy("tz", "own"))
+        both = both.withColumn("n", F.floor((F.col("n") + size - rank) / size))  # dealt to the equal rows in turn
+    return freed(both.where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))), docs.columns)

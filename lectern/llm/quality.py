@@ -76,5 +76,4 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs, columns unchanged, that quality_verdicts keeps."""
-    bad = quality_verdicts(docs).where("not kept").select(F.col("doc_id").alias("__id"), F.col("tx").alias("__tx"))
-    return without(docs, bad)
+    return without(docs, quality_verdicts(docs).where("not kept").select(F.col("doc_id").alias("id"), "tx"))

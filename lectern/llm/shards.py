@@ -13,6 +13,8 @@ from hashlib import md5
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import freed, held
+
 #: Prime, and over a hundred times the number of shards, so shards differ by under one per cent in slots.
 TABLE, SHARDS = 8191, 64
 
@@ -22,6 +24,8 @@ def lookup_table(names: tuple[str, ...], size: int = TABLE) -> tuple[int, ...]:
     """slot -> position of the shard in names.  The fill is a loop over `size` slots on the driver, before any plan."""
     if not names or len(set(names)) != len(names):
         raise ValueError("shard names must be distinct, and at least one")
+    if len(names) > size:
+        raise ValueError("more shards than slots: some would get none")
     number = lambda name, salt: int(md5(f"{salt}:{name}".encode()).hexdigest()[:12], 16)
     at = [number(n, "offset") % size for n in names]
     skip = [number(n, "skip") % (size - 1) + 1 for n in names]
@@ -50,9 +54,8 @@ def assign_shards(docs: DataFrame, names: tuple[str, ...] | None = None, key: st
     names = names or shard_names()
     spark = docs.sparkSession
     listed = F.split(F.lit(" ".join(map(str, lookup_table(names)))), " ")
-    table = spark.range(1).select(F.posexplode(listed).alias("__slot", "__shard")).select(F.col("__slot").cast("long"), F.col("__shard").cast("long"))
-    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    slot = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % TABLE
-    own = [f"`{c}`" for c in docs.columns if c not in ("slot", "shard")]
-    placed = docs.withColumn("__at", slot).join(F.broadcast(table), F.col("__at") == F.col("__slot"))  # TABLE rows, always
-    return placed.select(*own, F.col("__at").alias("slot"), F.col("__shard").alias("shard"))
+    table = spark.range(1).select(F.posexplode(listed).alias("slot", "shard")).select(F.col("slot").cast("long"), F.col("shard").cast("long"))
+    digest = F.md5(F.coalesce(F.col("row").getField(key).cast("string"), F.lit("")))
+    at = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % TABLE
+    placed = held(docs).withColumn("at", at).join(F.broadcast(table), F.col("at") == F.col("slot"))  # TABLE rows, always
+    return freed(placed, [c for c in docs.columns if c not in ("slot", "shard")], slot=F.col("at"), shard=F.col("shard"))

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid string, host string, slot string, __x int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid string, host string, slot string, row int"
 
 
 def long_text(rng, n, words=400):

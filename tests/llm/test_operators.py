@@ -80,6 +80,38 @@ def test_ngram_join_counts_links(families, awkward, awkward_rows):
         assert key(got) == key(want) and max(n for _, n in want) > 2
 
 
+def test_answers_are_derived():
+    """Members of a family are answered from its typical set, a stray by itself; every answer is the exact intersection."""
+    import random
+
+    import numpy as np
+
+    from lectern.llm import kernels as K
+
+    rng = random.Random(9)
+    pool = np.array(sorted(rng.sample(range(10**9), 500)), np.uint64)
+    family = [np.delete(pool, rng.sample(range(500), rng.randrange(6))) for _ in range(30)]
+    stray = np.array(sorted(rng.sample(range(10**9), 200)), np.uint64)
+    others = [np.sort(np.concatenate([rng.sample(list(pool), 300), rng.sample(list(stray), 20)]).astype(np.uint64)) for _ in range(10)]
+    left = [*family[:15], stray, *family[15:]]
+    d = K.Derived(left)
+    assert d.derived.tolist() == [i != 15 for i in range(31)]
+    assert len(d.who) < 31 * 12 + 200  # differences, not sets
+    for sets in (others, left, [stray]):
+        assert d.answers(sets).tolist() == [[len(np.intersect1d(a, b)) for b in left] for a in sets]
+
+
+def test_links_in_small_pieces(families, monkeypatch):
+    from lectern.llm import kernels as K
+
+    columns = lambda: key([tuple(r) for r in ngram_join.ngram_components(families).select("doc_id", "n_shingles", "component_id", "n_links").collect()])
+    whole = columns()
+    for k, v in {"RIGHT_SETS": 3, "RIGHT_TOKENS": 900, "PAIRS": 50, "LONG_LIST": 4, "CHUNK": 7}.items():
+        monkeypatch.setattr(K, k, v)
+    monkeypatch.setattr(ngram_join, "CHUNK_TOKENS", 2000)
+    assert columns() == whole
+
+
 def test_keep_one(awkward, awkward_rows):
     kept = ngram_join.keep_one(awkward)
     assert kept.columns == awkward.columns
@@ -276,23 +308,23 @@ def test_lookup_table_and_shards(spark, awkward, empty):
 
 
 def brute_lines(rows, least=line_runs.MIN_WORDS):
-    """Repeated lines of rows in order."""
-    seen, gone = set(), []
-    for _, text in rows:
-        ls = [(i, x) for i, x in enumerate((text or "").split("\n")) if spaced(x)]
-        mine = set()
-        for p in range(len(ls)):
-            n = 0
-            for q in range(p, len(ls)):
-                n += len(spaced(ls[q][1]))
-                if n >= least:
-                    run = tuple(x for _, x in ls[p : q + 1])
-                    if run in seen:
-                        mine |= {i for i, _ in ls[p : q + 1]}
-                    seen.add(run)
-                    break
-        gone.append(sorted(mine))
-    return gone
+    """Repeated lines of rows in order: those of every maximal common run of two places that has enough words, in the later one."""
+    kept = [[(i, x, len(spaced(x))) for i, x in enumerate((text or "").split("\n")) if spaced(x)] for _, text in rows]
+    places = defaultdict(list)
+    gone = [set() for _ in rows]
+    for d, ls in enumerate(kept):
+        for p, (_, x, _) in enumerate(ls):
+            for e, q in places[x]:
+                if p and q and kept[e][q - 1][1] == ls[p - 1][1]:
+                    continue  # within a longer run
+                n = words = 0
+                while p + n < len(ls) and q + n < len(kept[e]) and kept[e][q + n][1] == ls[p + n][1]:
+                    words += ls[p + n][2]
+                    n += 1
+                if words >= least:
+                    gone[d] |= {i for i, _, _ in ls[p : p + n]}
+            places[x].append((d, p))
+    return [sorted(g) for g in gone]
 
 
 def test_line_report(spark, awkward, empty):
@@ -312,6 +344,40 @@ def test_line_report(spark, awkward, empty):
     assert left[12] == "" and left[10]
 
 
+def test_line_runs_go_whole(spark):
+    """A copy loses all its lines, those after its last run of enough words too."""
+    long = " ".join(f"a{i}" for i in range(60))
+    mid = " ".join(f"b{i}" for i in range(45))
+    texts = [f"{long}\nb c\nd e f", f"{long}\nb c\nd e f", f"x1\n{long}\n{mid}\ny1", f"x2\n{long}\n{mid}\ny2", f"{mid}\nz"]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: list(r.removed) for r in line_runs.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: [], 1: [0, 1, 2], 2: [1], 3: [1, 2], 4: []}
+    assert [got[i] for i in range(5)] == brute_lines(rows)
+
+
+def test_line_runs_of_small_sizes(spark):
+    """Many small texts over few lines, and other least numbers of words."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, "\n".join(" ".join(["w"] * rng.choice([1, 1, 2, 3])) + f" {rng.randrange(3)}" for _ in range(rng.randrange(1, 14)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for least in (1, 4, 9, 17):
+        got = {r.doc_id: list(r.removed) for r in line_runs.line_report(df, least).collect()}
+        assert [got[i] for i in range(len(rows))] == brute_lines(rows, least)
+
+
+def test_line_runs_of_one_long_text(spark):
+    import time
+
+    text = "\n".join(f"line {i % 977} of many {i // 3}" for i in range(40_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    line_runs._placed(line_runs._lines(df.withColumn("rid", df.doc_id)), 50).count()
+    began = time.time()
+    assert line_runs._placed(line_runs._lines(df.withColumn("rid", df.doc_id)), 50).where("n_from > 0").count() > 39_000
+    assert time.time() - began < 3
+
+
 # ---------------------------------------------------------------- 8
 
 
@@ -438,6 +504,35 @@ def test_lm_beats_words_on_held_out(spark):
 # ---------------------------------------------------------------- all
 
 
+CLASH = "__ty __tx __tz __at __rid __gone __spans __words __gaps __n __c __copy __slot __id id tx tz own copy at shard spans words gaps gone row".split()
+
+
+def test_columns_of_any_name(spark, items):
+    """Every operator that gives rows back leaves columns alone whatever their names are."""
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"w{i}" for i in range(60))
+    base = spark.createDataFrame([(1, text, "en", "s1"), (2, text + " x", "en", "s1"), (3, None, None, None), (3, None, None, None)], "doc_id long, text string, lang string, source string")
+    docs = base.withColumns({c: F.lit(7) for c in CLASH})
+    for made in (quality.keep_good(docs), ngram_join.keep_one(docs), decontaminate.decontaminate(docs, items[1]), decontaminate.decontaminate(docs, items[1], mode="spans"), mixing.take_mixture(docs, share=100), line_runs.dedup_lines(docs), secrets.redact(docs)):
+        assert made.columns == docs.columns
+        got = made.select(CLASH).distinct().collect()
+        assert [tuple(r) for r in got] == [(7,) * len(CLASH)]
+    placed = shards.assign_shards(docs)
+    assert placed.columns == [*(c for c in docs.columns if c != "shard"), "slot", "shard"]
+    assert [tuple(r) for r in placed.select([c for c in CLASH if c != "shard"]).distinct().collect()] == [(7,) * (len(CLASH) - 1)]
+
+
+def test_shared_folder():
+    from types import SimpleNamespace
+
+    from lectern.llm import common
+
+    far = SimpleNamespace(sparkContext=SimpleNamespace(applicationId="none", master="yarn"), conf=SimpleNamespace(get=lambda k, d=None: d))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(far)
+
+
 def test_empty_tables(spark, empty, items):
     none = spark.createDataFrame([], "item_id long, text string")
     assert ngram_join.ngram_components(empty).count() == 0 and ngram_join.keep_one(empty).count() == 0
