@@ -614,7 +614,8 @@ def _merged(spans):
 # ---------------------------------------------------------------- op10: backoff automaton
 
 START, END = 0x5BD1E995C0FFEE11, 0x1B873593DEADBEE5
-BLOCK_TOKENS = 1_500_000
+#: Tokens of a block and of a piece of a text; together under 2 ** WORD_BITS, so three words of a block fit into 63 bits.
+BLOCK_TOKENS, PIECE_TOKENS, WORD_BITS = 1_200_000, 250_000, 21
 
 
 def planes(x, width):
@@ -631,44 +632,39 @@ def unplanes(blob, width):
     return out.view(np.uint64).ravel()
 
 
-def block_pairs(ids, starts, vocab, train=None):
-    """Distinct (previous, current) pairs of a block as prev * vocab + cur, sorted, and how often each is trained on."""
-    prev = np.r_[np.int64(0), ids[:-1]] if len(ids) else ids
-    prev[starts] = 0
-    key = prev * vocab + ids
-    if train is None:
-        return np.unique(key), key
-    s = np.sort(key * 2 + train)
-    k, bit = s >> 1, s & 1
-    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    return k[first], np.add.reduceat(bit, first) if len(first) else bit
+def spread(hashed, buckets):
+    return (hashed % np.uint64(buckets)).astype(np.int64)
 
 
-def pair_hashes(pairs, vocab, hashed):
-    return finish(hashed[pairs // vocab] * np.uint64(MIX[0]) + hashed[pairs % vocab])
+def by_bucket(hashed, buckets):
+    """Order of hashes by bucket and hash, and (bucket, from, to) of the buckets that hold any."""
+    b = spread(hashed, buckets)
+    order = np.lexsort((hashed, b))
+    return order, runs(b[order])
 
 
-#: Bits of a key within its bucket: words keep all of their hash, so counts of words are those of words.
-WORD_BITS, PAIR_BITS = 64, 36
+def runs(b):
+    """(value, from, to) of the runs of equal values."""
+    cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1], True]) if len(b) else np.zeros(1, np.int64)
+    return [(int(b[i]), int(i), int(j)) for i, j in zip(cut[:-1], cut[1:])]
 
 
-def by_bucket(hashed, buckets, bits):
-    """Order of hashes by bucket and key, the keys in it and the bounds of the buckets."""
-    b, key = hashed % np.uint64(buckets), (hashed // np.uint64(buckets)) & np.uint64((1 << bits) - 1)
-    order = np.argsort((b << np.uint64(bits)) | key, kind="stable") if bits + buckets.bit_length() <= 64 else np.lexsort((key, b))
-    return order, key[order], np.searchsorted(b[order], np.arange(buckets + 1, dtype=np.uint64))
+def binary_rows(rows, names):
+    """Rows whose first two values are integers, the others bytes."""
+    cols = list(zip(*rows)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.binary()) for i, c in enumerate(cols)], names=names)
 
 
-def ipc(column):
-    sink = pa.BufferOutputStream()
-    batch = pa.record_batch([column], names=["doc_id"])
-    with pa.ipc.new_stream(sink, batch.schema) as w:
-        w.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+LM_ROW = ["block", "bucket", "a", "b", "c", "d", "e", "f"]
 
 
-def block_rows(batches, buckets, held_out_of):
-    """(doc_id, text) -> blocks: a row of documents (bucket -1) and, for each bucket, a row of n-gram counts that asks for totals."""
+def block_rows(batches, held_out_of):
+    """(doc_id, text) -> one row for each block of pieces of texts.
+
+    A piece is two words before it (starts for a text's first), its tokens and an end; words are numbered as they appear, 0 the
+    start and 1 the end.  a: ids of the pieces' rows, b: their tokens * 4 + learned from * 2 + last of its text, c: all
+    pieces, d: hashes of the words, e: number of each piece's row, f: count of each word in what is learned from.
+    """
     import zlib
 
     import xxhash
@@ -678,112 +674,239 @@ def block_rows(batches, buckets, held_out_of):
             got = self[word] = len(self) + 2
             return got
 
-    part, serial = TaskContext.get().partitionId(), 0
-    vocab, ids, lens, train, doc_ids, total = Vocab(), [], [], [], [], 0
+    part, serial, row = TaskContext.get().partitionId(), 0, 0
+    vocab, flat, lens, rows, at, total = Vocab(), [], [], [], [], 0
 
     def flush():
-        nonlocal vocab, ids, lens, train, doc_ids, total, serial
-        flat = np.concatenate(ids)
-        size, n = len(vocab) + 2, np.array(lens, np.int64)
-        starts = np.cumsum(n) - n
-        kept = np.array(train, np.int64)
-        each = np.repeat(kept, n)
-        hashed = np.fromiter((START, END, *map(xxhash.xxh3_64_intdigest, vocab)), np.uint64, size)
-        pairs, pair_counts = block_pairs(flat, starts, size, each)
-        word_counts = np.bincount(flat[each > 0], minlength=size)
-        rows = []
-        asks = []
-        for h, c, bits in ((hashed[1:], word_counts[1:], WORD_BITS), (pair_hashes(pairs, size, hashed), pair_counts, PAIR_BITS)):
-            order, keys, cut = by_bucket(h, buckets, bits)
-            c = c[order]
-            asks.append([(planes(np.diff(keys[a:b], prepend=np.uint64(0)), 8), planes(c[a:b], 4)) for a, b in zip(cut[:-1], cut[1:])])
-        block = (part << 32) | serial
-        docs = pa.concat_arrays(doc_ids)
-        head = ipc(docs)
-        rows.append((block, -1, head, planes(flat, 4), planes(n * 2 + kept, 5), planes(hashed, 8)))
-        rows += [(block, i, *asks[0][i], *asks[1][i]) for i in range(buckets)]
+        nonlocal vocab, flat, lens, rows, at, total, serial
+        words, n = np.concatenate(flat), np.array(lens, np.int64)
+        hashed = np.fromiter((START, END, *map(xxhash.xxh3_64_intdigest, vocab)), np.uint64, len(vocab) + 2)
+        where, _ = scored(n >> 2)
+        learned = words[where][np.repeat((n >> 1) & 1, n >> 2) > 0]
+        ids = pa.concat_arrays(at)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, pa.schema([("doc_id", ids.type)])) as w:
+            w.write_batch(pa.record_batch([ids], names=["doc_id"]))
+        out = ((part << 32) | serial, -1, sink.getvalue().to_pybytes(), planes(n, 5), planes(words, 3), planes(hashed, 8), planes(np.array(rows, np.int64), 8), planes(np.bincount(learned, minlength=len(hashed)), 4))
         serial += 1
-        vocab, ids, lens, train, doc_ids, total = Vocab(), [], [], [], [], 0
-        cols = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["block", "bucket", "a", "b", "c", "d"])
+        vocab, flat, lens, rows, at, total = Vocab(), [], [], [], [], 0
+        return binary_rows([out], LM_ROW)
 
     for batch in pieces(batches):
-        names, texts, done = batch.column(0).to_pylist(), as_bytes(batch.column(1)), 0
-        for i, (name, text) in enumerate(zip(names, texts)):
+        names = batch.column(0).to_pylist()
+        for i, (name, text) in enumerate(zip(names, as_bytes(batch.column(1)))):
             words = (text or b"").lower().split()
-            got = np.fromiter(map(vocab.__getitem__, words), np.int64, len(words))
-            ids.append(np.r_[got, np.int64(1)])
-            lens.append(len(words) + 1)
-            train.append(zlib.crc32(("" if name is None else str(name)).encode()) % held_out_of != 0)
-            total += len(words) + 1
-            if total >= BLOCK_TOKENS:
-                doc_ids.append(batch.column(0).slice(done, i + 1 - done))
-                done = i + 1
-                yield flush()
-        if done < len(names):
-            doc_ids.append(batch.column(0).slice(done))
+            learn = zlib.crc32(("" if name is None else str(name)).encode()) % held_out_of != 0
+            before = (0, 0)
+            for start in range(0, len(words) + 1, PIECE_TOKENS):
+                some = words[start : start + PIECE_TOKENS]
+                last = start + PIECE_TOKENS > len(words)
+                got = np.fromiter(map(vocab.__getitem__, some), np.int64, len(some))
+                # the end of the last piece is a token; one more stands behind every piece, to ask for its last pair
+                flat.append(np.r_[before, got, [1, 1] if last else [1]])
+                n = len(some) + last
+                lens.append(n * 4 + learn * 2 + last)
+                rows.append((part << 40) | row)
+                at.append(batch.column(0).slice(i, 1))
+                total += n + 3
+                if not last:
+                    tail = words[max(0, start + PIECE_TOKENS - 2) : start + PIECE_TOKENS]
+                if total >= BLOCK_TOKENS:
+                    yield flush()
+                if not last:  # numbers of the block that the next piece is in
+                    before = tuple([0] * (2 - len(tail)) + [vocab[w] for w in tail])
+            row += 1
     if lens:
         yield flush()
     tidy()
 
 
-def total_rows(table):
-    """One bucket: totals over all blocks, sent back to each block in the order in which it asked."""
+def scored(n):
+    """Positions of the tokens of pieces of n tokens among all that stands in them, and where each piece begins."""
+    starts = np.cumsum(n + 3) - n - 3
+    shift = np.repeat(starts + 2 - (np.cumsum(n) - n), n)
+    return np.arange(len(shift)) + shift, starts
+
+
+def word_asks(batches, buckets):
+    """block, d, f -> for each bucket that the block has words of: their hashes and counts."""
+    for batch in pieces(batches, 1):
+        for block, hashed, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            hashed, counts = unplanes(hashed, 8), unplanes(counts, 4)
+            order, parts = by_bucket(hashed, buckets)
+            hashed, counts = hashed[order], counts[order]
+            yield binary_rows([(block, b, planes(np.diff(hashed[i:j], prepend=np.uint64(0)), 8), planes(counts[i:j], 4)) for b, i, j in parts], LM_ROW[:4])
+    tidy()
+
+
+def totals_of(keys, counts):
+    """Sums of counts by key, and the place of each entry's key among them."""
+    order = np.argsort(keys, kind="stable")
+    s = keys[order]
+    first = np.r_[True, s[1:] != s[:-1]]
+    inner = np.empty(len(keys), np.int64)
+    inner[order] = np.cumsum(first) - 1
+    return np.add.reduceat(counts[order], np.flatnonzero(first)), inner
+
+
+def word_totals(table, buckets):
+    """One bucket of words: a number for each, frequent ones first, and its total, sent back to each block in the order in which
+    it asked.  c and d, on one row: the tokens and the words of the bucket that are learned from."""
+    tidy()
+    blocks, bucket = table.column("block").to_pylist(), table.column("bucket")[0].as_py()
+    keys = [np.cumsum(unplanes(x, 8)) for x in table.column("a").to_pylist()]
+    counts = np.concatenate([unplanes(x, 4) for x in table.column("b").to_pylist()]).astype(np.int64)
+    totals, inner = totals_of(np.concatenate(keys), counts)
+    number = np.empty(len(totals), np.int64)
+    number[np.argsort(-totals, kind="stable")] = np.arange(len(totals)) * buckets + bucket
+    cut = np.cumsum([0, *map(len, keys)])
+    rows = [(block, bucket, planes(number[inner[i:j]], 5), planes(totals[inner[i:j]], 6), b"", b"") for block, i, j in zip(blocks, cut[:-1], cut[1:])]
+    rows[0] = (*rows[0][:4], int(totals.sum()).to_bytes(8, "big"), int((totals > 0).sum()).to_bytes(8, "big"))
+    return pa.Table.from_batches([binary_rows(rows, LM_ROW[:6])])
+
+
+class Trigrams:
+    """The distinct trigrams of a block's pieces, in the order of their words' numbers, and their pairs (the first two words).
+
+    words: all pieces, by place in numbers, which ascends; n: tokens of each piece.  Every token has a trigram, and so has
+    the end behind each piece, whose pair is the piece's last one.
+    """
+
+    def __init__(self, words, numbers, n, buckets):
+        at, starts = scored(n)
+        self.ends = starts + n + 2
+        every = np.sort(np.r_[at, self.ends])
+        bits = WORD_BITS
+        packed = (words[every - 2] << 2 * bits) | (words[every - 1] << bits) | words[every]
+        order = np.argsort(packed, kind="stable")
+        s = packed[order]
+        first = np.r_[True, s[1:] != s[:-1]]
+        self.which = np.empty(len(words), np.int64)
+        self.which[every[order]] = np.cumsum(first) - 1
+        self.at, self.packed = at, s[first]
+        pair = self.packed >> bits
+        new = np.r_[True, pair[1:] != pair[:-1]]
+        self.pair, pairs = np.cumsum(new) - 1, pair[new]
+        self.u, self.v, self.w = self.packed >> 2 * bits, pair & ((1 << bits) - 1), self.packed & ((1 << bits) - 1)
+        hashed = finish(numbers[pairs >> bits].astype(np.uint64) * np.uint64(MIX[0]) + numbers[pairs & ((1 << bits) - 1)].astype(np.uint64))
+        bucket = spread(hashed, buckets)
+        self.pair_order = np.argsort(bucket, kind="stable")
+        self.order = np.argsort(bucket[self.pair], kind="stable")
+        self.buckets = runs(bucket[self.pair][self.order])
+
+
+def trigram_asks(table, buckets):
+    """A block and the numbers and totals of its words -> the block with its words in the order of their numbers (d: the numbers,
+    f: the totals), and for each bucket that it has trigrams of: the trigrams' numbers, each as far as it differs from the
+    one before, and their counts."""
+    tidy()
+    cols = {c: table.column(c).to_pylist() for c in LM_ROW}
+    rows = sorted(range(len(cols["block"])), key=lambda i: cols["bucket"][i])
+    head = rows[0]
+    block, n = cols["block"][head], unplanes(cols["b"][head], 5).astype(np.int64)
+    hashed = unplanes(cols["d"][head], 8)
+    order, parts = by_bucket(hashed, buckets["words"])
+    if cols["bucket"][head] != -1 or [cols["bucket"][i] for i in rows[1:]] != [b for b, _, _ in parts]:
+        raise ValueError("a block lacks itself or answers")
+    numbers, totals = np.empty(len(hashed), np.int64), np.empty(len(hashed), np.int64)
+    numbers[order] = np.concatenate([unplanes(cols["a"][i], 5) for i in rows[1:]]).astype(np.int64)
+    totals[order] = np.concatenate([unplanes(cols["b"][i], 6) for i in rows[1:]]).astype(np.int64)
+    up = np.argsort(numbers)
+    place = np.empty(len(up), np.int64)
+    place[up] = np.arange(len(up))
+    words, numbers, totals = place[unplanes(cols["c"][head], 3).astype(np.int64)], numbers[up], totals[up]
+    t = Trigrams(words, numbers, n >> 2, buckets["pairs"])
+    learn = np.zeros(len(words), np.int64)
+    learn[t.at] = np.repeat((n >> 1) & 1, n >> 2)
+    learn[t.ends] = ((n >> 1) & 1) * (n & 1)  # behind a text's end only
+    every = np.r_[t.at, t.ends]
+    counts = np.bincount(t.which[every], learn[every], len(t.packed)).astype(np.int64)[t.order]
+    u, v, w = numbers[t.u[t.order]], numbers[t.v[t.order]], numbers[t.w[t.order]]
+    # the places of start (0) and end (1) are needed again, as are all words' totals
+    out = [(block, -1, cols["a"][head], cols["b"][head], planes(words, 3), planes(np.r_[place[:2], np.diff(numbers, prepend=0)], 5), cols["e"][head], planes(totals, 6))]
+    for b, i, j in t.buckets:
+        du = np.diff(u[i:j], prepend=0)
+        same = np.r_[False, du[1:] == 0]
+        dv = np.where(same, np.diff(v[i:j], prepend=0), v[i:j])
+        same &= dv == 0
+        dw = np.where(same, np.diff(w[i:j], prepend=0), w[i:j])
+        out.append((block, b, planes(du, 5), planes(dv, 5), planes(dw, 5), planes(counts[i:j], 4), None, None))
+    return pa.Table.from_batches([binary_rows(out, LM_ROW)])
+
+
+def rising(d, new):
+    """Values from differences that begin anew where new holds."""
+    total = np.cumsum(d)
+    at = np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))
+    return total - total[at] + d[at]
+
+
+def trigram_totals(table):
+    """One bucket of pairs: the totals of the trigrams (a) and of the pairs (b) that each block asked for, in its order."""
     tidy()
-    blocks = table.column("block").to_pylist()
-    replies, n, v = [], 0, 0
-    for keys, counts in (("a", "b"), ("c", "d")):
-        ks = [np.cumsum(unplanes(x, 8)) for x in table.column(keys).to_pylist()]
-        cs = np.concatenate([unplanes(x, 4) for x in table.column(counts).to_pylist()]).astype(np.int64)
-        k = np.concatenate(ks)
-        order = np.argsort(k, kind="stable")
-        s = k[order]
-        group = np.zeros(len(k), np.int64)
-        if len(k):
-            group[order] = np.cumsum(np.r_[False, s[1:] != s[:-1]])
-        totals = np.zeros(int(group.max()) + 1 if len(k) else 0, np.int64)
-        np.add.at(totals, group, cs)
-        if keys == "a":
-            n, v = int(totals.sum()), int((totals > 0).sum())
-        cut = np.cumsum([0, *map(len, ks)])
-        replies.append([planes(totals[group[a:b]], 6) for a, b in zip(cut[:-1], cut[1:])])
-    sums = n.to_bytes(8, "little") + v.to_bytes(8, "little")
-    bucket = table.column("bucket").to_pylist()
-    return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": pa.array(bucket, pa.int64()), "a": pa.array(replies[0], pa.binary()), "b": pa.array(replies[1], pa.binary()), "c": pa.array([sums] * len(blocks), pa.binary()), "d": pa.array([None] * len(blocks), pa.binary())})
-
-
-def score_block(table, schema, buckets, mu):
-    """One block: build its part of the automaton from the totals and run every document through it, left to right.
-
-    States are contexts (the start and each word); an arc leads over a seen pair to the state of its word and weighs its
-    smoothed log-probability; the failure arc of a state costs its backoff weight and falls to the word distribution.
+    tri, pair, counts, sizes = [], [], [], []
+    for a, b, c, d in zip(*(table.column(x).to_pylist() for x in "abcd")):
+        u = np.cumsum(unplanes(a, 5).astype(np.int64))
+        new = np.r_[True, u[1:] != u[:-1]]
+        v = rising(unplanes(b, 5).astype(np.int64), new)
+        new |= np.r_[True, v[1:] != v[:-1]]
+        w = rising(unplanes(c, 5).astype(np.int64), new)
+        key = finish(u.astype(np.uint64) * np.uint64(MIX[0]) + v.astype(np.uint64))
+        tri.append(finish(key * np.uint64(MIX[1]) + w.astype(np.uint64)))
+        pair.append((key, np.flatnonzero(new)))
+        counts.append(unplanes(d, 4).astype(np.int64))
+        sizes.append(len(u))
+    cut, all_counts = np.cumsum([0, *sizes]), np.concatenate(counts)
+    totals, inner = totals_of(np.concatenate(tri), all_counts)
+    replies = [planes(totals[inner[i:j]], 6) for i, j in zip(cut[:-1], cut[1:])]
+    del tri, totals, inner
+    heads = [np.add.reduceat(c, at) for c, (_, at) in zip(counts, pair)]
+    pair_cut = np.cumsum([0, *map(len, heads)])
+    totals, inner = totals_of(np.concatenate([key[at] for key, at in pair]), np.concatenate(heads))
+    rows = [(block, bucket, r, planes(totals[inner[i:j]], 6), None, None, None, None) for block, bucket, r, i, j in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), replies, pair_cut[:-1], pair_cut[1:])]
+    return pa.Table.from_batches([binary_rows(rows, LM_ROW)])
+
+
+def score_block(table, schema, buckets, total, kinds, mu):
+    """One block: build the part of the automaton that its pieces walk through, and run every piece through it.
+
+    States are the contexts: the empty one, each word and each pair of words learned from.  A state's arc over a word that was
+    seen behind it weighs that word's smoothed log-probability and leads to the state of the last two words; its failure arc
+    weighs log10(mu / (count + mu)) and leads to the state without its first word.  Whatever the path, the state after a
+    word is that of the last two words, so a walk's steps need not wait for each other: they are taken for all tokens at
+    once, each from its own state down the failure arcs to the first state with an arc over the word.
     """
     tidy()
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("bucket", "a", "b", "c", "d"))), key=lambda r: r[0])
-    _, head, flat, n, hashed = rows[0]
-    replies = rows[1:]
-    if rows[0][0] != -1 or len(replies) != buckets:
-        raise ValueError("a block lacks its documents or replies")
-    ids, n, hashed = unplanes(flat, 4).astype(np.int64), unplanes(n, 5).astype(np.int64), unplanes(hashed, 8)
-    kept, n = n & 1, n >> 1
-    size, starts = len(hashed), np.cumsum(n) - n
-    pairs, keys = block_pairs(ids, starts, size)
-    total = sum(int.from_bytes(r[3][:8], "little") for r in replies)
-    kinds = sum(int.from_bytes(r[3][8:], "little") for r in replies)
-    words, seen = np.zeros(size, np.int64), np.zeros(len(pairs), np.int64)
-    order, _, _ = by_bucket(hashed[1:], buckets, WORD_BITS)
-    words[1:][order] = np.concatenate([unplanes(r[1], 6) for r in replies]).astype(np.int64)
-    order, _, _ = by_bucket(pair_hashes(pairs, size, hashed), buckets, PAIR_BITS)
-    seen[order] = np.concatenate([unplanes(r[2], 6) for r in replies]).astype(np.int64)
-    words[0] = words[1]  # as many starts as ends
-    low = (words + 0.1) / (total + 0.1 * (kinds + 1))
+    cols = {c: table.column(c).to_pylist() for c in LM_ROW}
+    rows = sorted(range(len(cols["block"])), key=lambda i: cols["bucket"][i])
+    head = rows[0]
+    n, words, ahead = unplanes(cols["b"][head], 5).astype(np.int64), unplanes(cols["c"][head], 3).astype(np.int64), unplanes(cols["d"][head], 5).astype(np.int64)
+    (start, end), numbers, totals = ahead[:2], np.cumsum(ahead[2:]), unplanes(cols["f"][head], 6).astype(np.int64)
+    t = Trigrams(words, numbers, n >> 2, buckets)
+    if cols["bucket"][head] != -1 or [cols["bucket"][i] for i in rows[1:]] != [b for b, _, _ in t.buckets]:
+        raise ValueError("a block lacks itself or answers")
+    seen, pairs = np.empty(len(t.packed), np.int64), np.empty(len(t.pair_order), np.int64)
+    seen[t.order] = np.concatenate([unplanes(cols["a"][i], 6) for i in rows[1:]]).astype(np.int64)
+    pairs[t.pair_order] = np.concatenate([unplanes(cols["b"][i], 6) for i in rows[1:]]).astype(np.int64)
+    known = totals > 0
+    behind = np.where(np.arange(len(totals)) == start, totals[end], totals)  # as many starts as ends are learned from
+    # arcs of the empty state
+    low = (totals + 0.1) / (total + 0.1 * (kinds + 1))
     low_log = np.log10(low)
-    context, word = pairs // size, pairs % size
-    fail = np.log10(mu / (words + mu))
-    arc = np.where(seen > 0, np.log10((seen + mu * low[word]) / (words[context] + mu)), fail[context] + low_log[word])
-    step = arc[np.searchsorted(pairs, keys)]
-    cols = [pa.ipc.open_stream(head).read_all().column(0).combine_chunks(), pa.array(kept == 0), pa.array(n), pa.array(np.add.reduceat((words[ids] > 0).astype(np.int64), starts)), pa.array(np.full(len(n), total, np.int64)), pa.array(np.add.reduceat(low_log[ids], starts)), pa.array(np.add.reduceat(step, starts))]
-    return pa.Table.from_arrays(cols, schema=schema)
+    # arcs of words: the pair of a trigram's last two words is that of the place after it
+    last = np.zeros(len(t.packed), np.int64)
+    last[t.which[t.at]] = pairs[t.pair[t.which[t.at + 1]]]
+    mid = (last + mu * low[t.w]) / (behind[t.v] + mu)
+    weight = np.where(last > 0, np.log10(mid), np.log10(mu / (behind[t.v] + mu)) + low_log[t.w])
+    # arcs of pairs
+    held = pairs[t.pair]
+    weight = np.where(seen > 0, np.log10((seen + mu * mid) / (held + mu)), np.log10(mu / (held + mu)) + weight)
+    tokens, of = words[t.at], n >> 2
+    first = np.cumsum(of) - of
+    sums = lambda x: np.add.reduceat(x, first)
+    ids = pa.ipc.open_stream(cols["a"][head]).read_all().column(0).combine_chunks()
+    out = [pa.array(unplanes(cols["e"][head], 8).astype(np.int64)), ids, pa.array((n >> 1) & 1 == 0), pa.array(of), pa.array(sums(known[tokens].astype(np.int64))), pa.array(sums(low_log[tokens])), pa.array(sums(weight[t.which[t.at]]))]
+    return pa.Table.from_arrays(out, schema=schema)
 
 
 # ---------------------------------------------------------------- op5: boosted trees on lexical features
