@@ -35,13 +35,19 @@ TEMPLATES = {
 GRAMS, GAP, LEAST = (2, 4), 3, 0.7
 
 
-def template_grams(spark: SparkSession) -> DataFrame:
-    """h, tid, label, base (a phrase), size (words), t (position), gram: a fixed table of under a thousand rows."""
+def template_rows() -> list[tuple]:
+    """tid, label, base (a phrase), size (words), t (position), gram: a fixed table of under a thousand rows."""
     rows = [(f"phrase:{p}", label, True, p.split()) for p, label in PHRASES.items()] + [(f"text:{label}", label, False, t.split()) for label, t in TEMPLATES.items()]
     values = []
     for tid, label, base, words in rows:
         k = max(g for g in GRAMS if g <= len(words))
         values += [(tid, label, base, len(words), i, words[i : i + k]) for i in range(len(words) - k + 1)]
+    return values
+
+
+def template_grams(spark: SparkSession) -> DataFrame:
+    """The templates' grams with h, their hash."""
+    values = template_rows()
     table = spark.createDataFrame(values, "tid string, label string, base boolean, size int, t int, gram array<string>")
     return table.withColumn("h", F.when(F.size("gram") == 2, F.xxhash64(F.get("gram", F.lit(0)), F.get("gram", F.lit(1)))).otherwise(F.xxhash64(*(F.get("gram", F.lit(i)) for i in range(4)))))
 

@@ -3,7 +3,8 @@
 Each text is measured once.  A document fails outright by the base rule; softer signs (symbols, repeated lines, odd word
 lengths) are only counted.  Failures of each rule are aggregated by host (the source), each host's rate is shrunk towards
 all hosts' with a beta prior fitted to their spread by moments, and the verdict is joined back: on a host whose shrunk rate
-for a rule is high, a document that itself shows that rule's sign is rejected too.  Documents without any sign always stay.
+for a rule is well above the prior's mean, a document that itself shows that rule's sign is rejected too.  Documents without
+any sign always stay.
 """
 
 from __future__ import annotations
@@ -18,14 +19,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import kernels as K
 from .common import materialize, text_hash, without
 
-#: Signs of each rule; a host's verdict is bad from this shrunk rate on.
+#: Signs of each rule: a document that the base rule leaves shows them or not.
 SIGNS = {
     "symbols": "n_words > 0 and n_symbols > 0.2 * n_words",
     "dup_lines": "n_lines > 3 and n_dup_lines > 0.5 * n_lines",
     "word_chars": "n_words > 0 and (word_chars < 2 * n_words or word_chars > 15 * n_words)",
-    "base": "base_failed",
 }
-BAD_RATE = 0.5
+#: A host's verdict is bad where its shrunk rate is at least LIFT times the prior's mean; the prior weighs as many rows as STRONGEST
+#: at most, which it does where hosts differ no more than chance makes them.
+LIFT, STRONGEST = 1.5, 1000.0
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -40,20 +42,23 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def host_verdicts(signed: DataFrame) -> DataFrame:
-    """host and bad_<rule> for each rule: shrunk rate (failures + a) / (rows + a + b) of at least BAD_RATE.
+    """host and bad_<rule> for each rule: shrunk rate (failures + m s) / (rows + s) of at least LIFT m.
 
-    The prior's mean m and strength s = a + b come from all hosts: m is the mean of their rates, and s equals
-    m (1 - m) / variance - 1, within 1 to 1000 (1000 where the rates do not differ).
+    The prior's mean m is that of the hosts' rates; its strength s comes from their variance beyond what chance gives hosts of
+    their sizes: s = m (1 - m) / (variance - mean of m (1 - m) / rows) - 1, within 1 and STRONGEST, and STRONGEST where that
+    difference is not positive.  So a host of few rows, or hosts that differ by chance, condemn nobody.
     """
     counts = signed.groupBy("host").agg(F.count("*").alias("rows"), *(F.sum(F.col(f"sign_{r}").cast("long")).alias(f"f_{r}") for r in SIGNS))
-    rates = [F.col(f"f_{r}") / F.col("rows") for r in SIGNS]
-    prior = counts.agg(*(F.avg(x).alias(f"m_{r}") for r, x in zip(SIGNS, rates)), *(F.coalesce(F.var_pop(x), F.lit(0.0)).alias(f"v_{r}") for r, x in zip(SIGNS, rates)))
+    rates = {r: F.col(f"f_{r}") / F.col("rows") for r in SIGNS}
+    prior = counts.agg(F.avg(1 / F.col("rows")).alias("chance"), *(F.avg(x).alias(f"m_{r}") for r, x in rates.items()), *(F.avg(x * x).alias(f"q_{r}") for r, x in rates.items()))
     both = counts.crossJoin(F.broadcast(prior))  # the prior is one row
 
     def bad(r):
-        m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
-        s = F.when(v > 0, F.greatest(F.lit(1.0), F.least(F.lit(1000.0), m * (1 - m) / v - 1))).otherwise(1000.0)
-        return ((F.col(f"f_{r}") + m * s) / (F.col("rows") + s) >= BAD_RATE).alias(f"bad_{r}")
+        m = F.col(f"m_{r}")
+        spread = m * (1 - m)
+        v = F.col(f"q_{r}") - m * m - spread * F.col("chance")
+        s = F.when(v > 0, F.greatest(F.lit(1.0), F.least(F.lit(STRONGEST), spread / v - 1))).otherwise(STRONGEST)
+        return ((F.col(f"f_{r}") + m * s) / (F.col("rows") + s) >= LIFT * m).alias(f"bad_{r}")
 
     return both.select("host", *(bad(r) for r in SIGNS))
 

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from .backoff_lm import lm_scores
 from .decontaminate import WINDOW, contamination
-from .licenses import license_rows
+from .licenses import GAP, LEAST, license_rows, template_rows
 from .line_runs import MIN_WORDS, line_report
 from .mixing import EPOCHS, LANG_WEIGHTS, OTHER_LANG, SEED, SHARE_PERCENT, mixture
 from .ngram_join import ngram_components
-from .quality import quality_verdicts
+from .quality import LIFT, SIGNS, STRONGEST, quality_verdicts
 from .secrets import secret_spans
 from .shards import TABLE, assign_shards, lookup_table, shard_names
 from .url_filter import url_verdicts
@@ -144,5 +144,65 @@ UNION ALL SELECT doc_id, lang, source, n_tokens, CAST(e AS BIGINT) AS epoch FROM
 """
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, w[i:i + least(len(w), 5) - 1] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 75 * (x.n + y.n - k)),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS least FROM r GROUP BY a),
+d AS (SELECT a, count(*) AS k FROM e GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m.least, doc_id)) AS component_id, CAST(coalesce(d.k, 0) AS BIGINT) AS n_links
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m ON doc_id = m.a LEFT JOIN d ON doc_id = d.a
+"""
+
+
+def _template_rows() -> str:
+    """(tid, label, base, size, t, gram) of all templates' grams, as SQL values."""
+    return ", ".join(f"('{tid}', '{label}', {base}, {size}, {t}, [{', '.join(repr(x) for x in gram)}])" for tid, label, base, size, t, gram in template_rows())
+
+
+OP3_SQL = rf"""
+WITH d AS (SELECT doc_id, list_filter({_WORDS.format(x="coalesce(text, '')")}, lambda x: x <> '') AS w FROM documents),
+t(tid, label, base, size, t, gram) AS (VALUES {_template_rows()}),
+g AS (SELECT doc_id, i - 1 AS p, w[i:i + k - 1] AS gram FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (VALUES (2), (4)) ks(k) WHERE len(w) >= k)),
+v AS (SELECT doc_id, tid, label, base, size, p - t AS diagonal, p AS s, p + len(gram) AS e FROM g JOIN t USING (gram)),
+o AS (SELECT *, CASE WHEN base OR diagonal - lag(diagonal) OVER x > {GAP} OR lag(diagonal) OVER x IS NULL THEN 1 ELSE 0 END AS apart
+  FROM (SELECT DISTINCT doc_id, tid, base, diagonal FROM v) WINDOW x AS (PARTITION BY doc_id, tid ORDER BY diagonal)),
+r AS (SELECT doc_id, tid, diagonal, sum(apart) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) AS run FROM o),
+c AS (SELECT doc_id, tid, run, label, base, size, min(s) AS s, count(DISTINCT q) AS n
+  FROM (SELECT doc_id, tid, run, label, base, size, s, unnest(range(s, e)) AS q FROM v JOIN r USING (doc_id, tid, diagonal)) GROUP BY doc_id, tid, run, label, base, size),
+f AS (SELECT doc_id, label, base, s, least(1.0, CAST(n AS DOUBLE) / size) AS score FROM c),
+h AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+  string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM f WHERE base OR score >= {LEAST} GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN h USING (doc_id)
+"""
+
+
+def _host_rule(r: str) -> str:
+    """SQL of one rule's verdict on a host, as in quality.host_verdicts."""
+    v = f"(q_{r} - m_{r} * m_{r} - m_{r} * (1 - m_{r}) * chance)"
+    s = f"(CASE WHEN {v} > 0 THEN greatest(1.0, least({STRONGEST}, m_{r} * (1 - m_{r}) / {v} - 1)) ELSE {STRONGEST} END)"
+    return f"(f_{r} + m_{r} * {s}) / (n + {s}) >= {LIFT} * m_{r} AS bad_{r}"
+
+
+OP9_SQL = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, w[i:i + 7] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1) GROUP BY doc_id),
+ln AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^ 	-]') GROUP BY doc_id),
+m AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[ 	-]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN ln USING (doc_id)),
+s AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {", ".join(f"{e} AS sign_{r}" for r, e in SIGNS.items())} FROM m),
+h AS (SELECT source, count(*) AS n, {", ".join(f"count(*) FILTER (sign_{r}) AS f_{r}" for r in SIGNS)} FROM s GROUP BY source),
+p AS (SELECT avg(1 / n) AS chance, {", ".join(f"avg(f_{r} / n) AS m_{r}, avg((f_{r} / n) * (f_{r} / n)) AS q_{r}" for r in SIGNS)} FROM h),
+b AS (SELECT source, {", ".join(map(_host_rule, SIGNS))} FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR {" OR ".join(f"(sign_{r} AND bad_{r})" for r in SIGNS)}) AS kept
+FROM s JOIN b ON s.source IS NOT DISTINCT FROM b.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_decontamination": OP4_SQL, "op6_sharding": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_source_mixing": OP8_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op3_license_scans": OP3_SQL, "op9_quality_rules": OP9_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_sharding": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_source_mixing": OP8_SQL}
