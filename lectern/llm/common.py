@@ -52,7 +52,8 @@ def sized(df: DataFrame, tag: str) -> tuple[DataFrame, Size]:
     """df as a table in the shared folder, and its size, counted while it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    long = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)).cast("long") for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    text = {"string": lambda c: c, "binary": lambda c: c, "array<string>": lambda c: F.concat_ws(" ", c)}
+    long = [F.coalesce(F.octet_length(text[t](F.col(f"`{c}`"))), F.lit(0)).cast("long") for c, t in df.dtypes if t in text]
     seen = Observation()
     df = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(reduce(add, long, F.lit(8 * len(df.columns)).cast("long"))).alias("bytes"))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -1,12 +1,13 @@
 """Benchmark decontamination: broadcast n-gram hash set, scan of token windows, verification, removal.
 
 Every 13-word window holds, whole, one of the text's seven-word grams that start at multiples of seven.  So the scan hashes
-only those grams (a seventh of the positions), probes the broadcast set of all seven-word grams of the benchmark, and
-verifies the few windows around each hit word by word against the benchmark's windows.  Items of m < 13 words are one
-window; their grams have (m + 1) / 2 words, by the same argument.
+only those grams (a seventh of the positions), probes the hash set of all seven-word grams of the benchmark, and verifies the
+few windows around each hit word by word against the benchmark's windows.  Items of m < 13 words are one window; their grams
+have (m + 1) / 2 words, by the same argument.  One scan splits each text once and probes grams of all lengths.
 
-The benchmark is cut by hash into blocks of at most BLOCK_WINDOWS windows, which is what one broadcast holds; a larger
-benchmark takes several scans of the documents.  Everything runs as DataFrame expressions.
+The set is broadcast where its measured size allows; beyond that the hashes of the texts' grams meet it in a shuffle, and the
+documents that hold any are read a second time.  Items join only the windows that were found.  Everything runs as DataFrame
+expressions.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, freed, held, let, materialize, text_hash, without, word_array
+from .common import BROADCAST_BYTES, SEPARATORS, freed, held, let, materialize, sized, text_hash, without, word_array
 
+#: Words of a window, and the windows of a benchmark that is broadcast at most (each has seven grams).
 WINDOW, BLOCK_WINDOWS = 13, 200_000
 
 
@@ -34,37 +36,48 @@ def grams(words: Column, size: int, step: int) -> Column:
 
 
 def windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct windows of the benchmark: m (words), win (array), item_ids (array of strings), h (hash)."""
-    words = items.select(F.col("item_id").cast("string").alias("item"), word_array(F.col("text")).alias("w")).where(F.size("w") > 0)
+    """item, m (words), win (its words), h (hash) of the distinct windows of each item; a null item_id counts as ''."""
+    words = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), word_array(F.col("text")).alias("w")).where(F.size("w") > 0)
     cut = words.select("item", "w", F.least(F.size("w"), F.lit(window)).alias("m"))
     each = cut.select("item", "m", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("m") + 1), lambda i: F.slice("w", i, F.col("m")))).alias("win"))
-    return each.groupBy("m", "win").agg(F.sort_array(F.collect_set(F.coalesce("item", F.lit("")))).alias("item_ids")).withColumn("h", F.xxhash64("m", "win"))
+    return each.distinct().withColumn("h", F.xxhash64("m", "win"))
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows of docs with the windows that stand in them: doc_id, tx, n_words, spans array<struct<s, e, item_ids>>, one row
     for each (doc_id, tx), with copies, the number of equal rows.  s and e are word positions, e exclusive."""
-    wins = materialize(windows(items, window), "windows")
-    lengths = [(r.m, r.n) for r in wins.groupBy("m").agg(F.count("*").alias("n")).orderBy("m").collect()]  # at most `window` rows
-    blocks = max(1, -(-sum(n for _, n in lengths) // BLOCK_WINDOWS))
+    asked = materialize(windows(items, window), "items")
+    wins, size = sized(asked.select("m", "win", "h").distinct(), "windows")
+    lengths = [r.m for r in wins.select("m").distinct().orderBy("m").collect()]  # at most `window` rows
     base = docs.select("doc_id", text_hash().alias("tx"), word_array(F.col("text")).alias("w"))
     base = base.select("doc_id", "tx", "w", F.size("w").alias("n_words"))
-    found = []
-    for b in range(blocks):
-        mine = wins.where(F.pmod("h", F.lit(blocks)) == b) if blocks > 1 else wins
-        for m, _ in lengths:
-            g = gram_of(m)
-            probes = base.select("doc_id", "tx", "w", "n_words", F.posexplode(let(F.col("w"), lambda w: grams(w, g, g))).alias("k", "g"))
-            set_ = mine.where(F.col("m") == m).select(F.explode(let(F.col("win"), lambda w: grams(w, g, 1))).alias("g")).distinct()
-            near = probes.join(F.broadcast(set_), "g", "left_semi")  # at most m - g + 1 grams for each of BLOCK_WINDOWS windows
-            p = F.col("k") * g
-            starts = F.sequence(F.greatest(F.lit(0), p - (m - g)), F.least(p, F.col("n_words") - m))
-            around = F.when(F.col("n_words") >= m, F.transform(starts, lambda s: F.struct(s.alias("s"), F.slice("w", s + 1, F.lit(m)).alias("x"))))
-            each = near.select("doc_id", "tx", F.explode(around).alias("c")).select("doc_id", "tx", F.col("c.s").alias("s"), F.col("c.x").alias("x"), F.xxhash64(F.lit(m), F.col("c.x")).alias("h"))
-            true = each.join(F.broadcast(mine.where(F.col("m") == m).select("h", "win", "item_ids")), "h").where("x = win")
-            found.append(true.select("doc_id", "tx", "s", (F.col("s") + m).alias("e"), "item_ids"))
     none = base.select("doc_id", "tx", "n_words", F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("e"), F.lit(None).cast("array<string>").alias("item_ids"))
-    rows = reduce(DataFrame.unionByName, [f.withColumn("n_words", F.lit(None).cast("int")) for f in found], none)
+    if not lengths:
+        return _gathered(none)
+    by_size = {g: [m for m in lengths if gram_of(m) == g] for g in sorted({gram_of(m) for m in lengths})}
+    # g, m: the grams of every window, of the size that its length asks for
+    of_m = reduce(lambda a, m: F.when(F.col("m") == m, let(F.col("win"), lambda w: grams(w, gram_of(m), 1))).otherwise(a), lengths, F.lit(None).cast("array<bigint>"))
+    set_ = wins.select("m", F.explode(of_m).alias("g")).distinct()
+    probe = let(F.col("w"), lambda w: F.concat(*(F.transform(grams(w, g, g), lambda h, k: F.struct((k * g).alias("p"), h.alias("g"))) for g in by_size)))
+    few = size.rows <= BLOCK_WINDOWS and size.bytes <= BROADCAST_BYTES
+    if few:
+        near = base.select("doc_id", "tx", "w", "n_words", F.explode(probe).alias("x")).select("doc_id", "tx", "w", "n_words", "x.p", "x.g").join(F.broadcast(set_), "g")
+    else:
+        found = base.select("doc_id", "tx", F.explode(probe).alias("x")).select("doc_id", "tx", "x.p", "x.g").join(set_, "g")
+        found = materialize(found.select(F.col("doc_id").alias("id"), F.col("tx").alias("tz"), "p", "m").distinct(), "near")
+        near = base.join(found, base["doc_id"].eqNullSafe(found["id"]) & (base["tx"] == found["tz"])).select("doc_id", "tx", "w", "n_words", "p", "m")
+    # all starts from which a window of m words holds the gram whole
+    g = reduce(lambda a, m: F.when(F.col("m") == m, gram_of(m)).otherwise(a), lengths, F.lit(0))
+    starts = F.sequence(F.greatest(F.lit(0), F.col("p") - (F.col("m") - g)), F.least(F.col("p"), F.col("n_words") - F.col("m")))
+    around = F.when(F.col("n_words") >= F.col("m"), F.transform(starts, lambda s: F.struct(s.alias("s"), F.slice("w", s + 1, F.col("m")).alias("x"))))
+    each = near.select("doc_id", "tx", "m", F.explode(around).alias("c")).select("doc_id", "tx", "m", F.col("c.s").alias("s"), F.col("c.x").alias("x"), F.xxhash64("m", "c.x").alias("h"))
+    true = each.join(F.broadcast(wins) if few else wins, ["h", "m"]).where("x = win").select("doc_id", "tx", "s", (F.col("s") + F.col("m")).alias("e"), "h", "m")
+    ids = asked.groupBy("h", "m", "win").agg(F.sort_array(F.collect_set("item")).alias("item_ids")).drop("win")
+    named = true.distinct().join(ids, ["h", "m"]).select("doc_id", "tx", F.lit(None).cast("int").alias("n_words"), "s", "e", "item_ids")
+    return _gathered(none.unionByName(named))
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
     span = F.when(F.col("s").isNotNull(), F.struct("s", "e", "item_ids"))
     return rows.groupBy("doc_id", "tx").agg(F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"), F.sort_array(F.collect_set(span)).alias("spans"))
 
