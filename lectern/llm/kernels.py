@@ -560,18 +560,19 @@ def secret_scanner(scope=200):
             roles = {0: 1, 1: 0, 2: 1, 3: 0, 4: 1, 5: 2}
             parts = {r: sorted(x for x in [*found, *weak] if roles[x[1]] == r) for r in (0, 1, 2)}
             partners = {0: (1,), 1: (0, 2), 2: (1,)}
-            longest = max(e - s for s, _, e in [*found, *weak])
+            ends_of = {r: sorted(x[2] for x in side) for r, side in parts.items()}
 
             def beside(w):
-                """Whether a complementary part lies within the scope: an interval join by binary search."""
+                """Whether a complementary part lies within the scope: an interval join by binary search.  No part holds a blank
+                line, so on either side the nearest part decides."""
                 for r in partners[roles[w[1]]]:
                     side = parts[r]
-                    i = bisect_left(side, (w[0] - scope - longest, -1, -1))
-                    while i < len(side) and side[i][0] <= w[2] + scope:
-                        s, _, e = side[i]
-                        if e >= w[0] - scope and (e <= w[0] or s >= w[2]) and bisect_right(cuts, min(s, w[0])) == bisect_right(cuts, max(s, w[0])):
-                            return True
-                        i += 1
+                    i = bisect_left(side, (w[2], -1, -1))
+                    if i < len(side) and side[i][0] <= w[2] + scope and bisect_right(cuts, w[0]) == bisect_right(cuts, side[i][0]):
+                        return True
+                    i = bisect_right(ends_of[r], w[0]) - 1
+                    if i >= 0 and ends_of[r][i] >= w[0] - scope and bisect_right(cuts, ends_of[r][i] - 1) == bisect_right(cuts, w[0]):
+                        return True
                 return False
 
             found += [w for w in weak if beside(w)]
@@ -912,7 +913,7 @@ def score_block(table, schema, buckets, total, kinds, mu):
 # ---------------------------------------------------------------- op5: boosted trees on lexical features
 
 
-def url_features(urls, hosts, paths, suffix_rate):
+def url_features(urls, hosts, paths, *rates):
     import math
     from collections import Counter
 
@@ -927,7 +928,7 @@ def url_features(urls, hosts, paths, suffix_rate):
             u.startswith("https"), max(map(len, h.split("."))) if h else 0, len(p.rpartition("/")[2]),
         ))
     x = np.array(rows, float).reshape(len(rows), 15)
-    return np.column_stack([x, np.asarray(suffix_rate, float)])
+    return np.column_stack([x, *(np.asarray(r, float) for r in rates)])
 
 
 def fit_trees(x, y, trees, depth, rate, bins, weights=None):
@@ -984,7 +985,7 @@ def predict(model, x):
 
 def url_rows(batches, model, schema):
     for batch in batches:
-        ids, url, host, path, rule, label, rate = batch.columns
-        p = predict(model, url_features(url.to_pylist(), host.to_pylist(), path.to_pylist(), rate.to_numpy(zero_copy_only=False)))
+        ids, url, host, path, rule, label, *rates = batch.columns
+        p = predict(model, url_features(url.to_pylist(), host.to_pylist(), path.to_pylist(), *(r.to_numpy(zero_copy_only=False) for r in rates)))
         verdict = [x or ("block" if q >= 0.5 else "allow") for x, q in zip(label.to_pylist(), p)]
         yield pa.RecordBatch.from_arrays([ids, host, path, rule, pa.array(verdict, pa.string()), pa.array(p, pa.float64())], schema=schema)
