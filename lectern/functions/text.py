@@ -78,7 +78,12 @@ def course_code(label: Column) -> Column:
     return F.substring_index(label, ":", 1)
 
 
+#: Forms of course labels, and of terms.
 CODED = r"^([A-Z]+\d+):\d+\s+\((.+?)\)"
+CODE_ONLY = r"^([A-Z]+\d+)(?::\d+)?\s*\("
+BRACKETED = r"\((.+?)\)"
+SEASON_NAME = r"(?i)(spring|summer|fall|winter)"
+YEAR = r"\b(20\d{2})\b"
 
 
 def parse_course(label: Column) -> Column:
@@ -88,20 +93,20 @@ def parse_course(label: Column) -> Column:
 
 def lenient_code(label: Column) -> Column:
     """The code with or without section number, else the first word."""
-    return F.coalesce(nullif_blank(F.regexp_extract(label, r"^([A-Z]+\d+)(?::\d+)?\s*\(", 1)), F.substring_index(F.substring_index(label, ":", 1), " ", 1))
+    return F.coalesce(nullif_blank(F.regexp_extract(label, CODE_ONLY, 1)), F.substring_index(F.substring_index(label, ":", 1), " ", 1))
 
 
 def in_brackets(label: Column) -> Column:
     """The first text in round brackets, or null."""
-    return nullif_blank(F.regexp_extract(label, r"\((.+?)\)", 1))
+    return nullif_blank(F.regexp_extract(label, BRACKETED, 1))
 
 
 def term_season(term: Column) -> Column:
-    return nullif_blank(F.initcap(F.regexp_extract(term, r"(?i)(spring|summer|fall|winter)", 1)))
+    return nullif_blank(F.initcap(F.regexp_extract(term, SEASON_NAME, 1)))
 
 
 def term_year(term: Column) -> Column:
-    return F.regexp_extract(term, r"\b(20\d{2})\b", 1).try_cast("int")
+    return F.regexp_extract(term, YEAR, 1).try_cast("int")
 
 
 def clean_term(term: Column) -> Column:
@@ -130,6 +135,12 @@ def strip_question(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"^Q:", ""))
 
 
+def attribute(value: Column) -> Column:
+    """How an attribute of a review is shown: yes, no and true, false in any case as Yes and No, others as they are, blank as null."""
+    low = F.lower(F.trim(value))
+    return F.when(low.isin("yes", "true"), "Yes").when(low.isin("no", "false"), "No").otherwise(nullif_blank(F.trim(value)))
+
+
 def file_name(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, "[^a-zA-Z0-9]", "_"))
 

@@ -25,26 +25,37 @@ def first_seen(df: DataFrame, value: str, row_id: str) -> DataFrame:
     return df.groupBy(value).agg(F.min(row_id).alias("first_row"))
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left join with a table of one row per key; the optimizer broadcasts it when it is small."""
-    return left.join(right, key, "left")
-
-
 def prefix_link(left: DataFrame, right: DataFrame, left_id: str, left_key: str, right_key: str) -> DataFrame:
     """(left_id, right_key) for rows whose key is not found as such: same last word, and one first word starts the other.
 
-    Keys of fewer than two words link with nothing.  The lowest candidate wins.  The last word is the join key and the prefix
-    test a residual condition, so this is a hash join, not a nested loop.
+    Keys of fewer than two words link with nothing.  The lowest candidate wins.  Either side's first words are unfolded into
+    their prefixes and meet the other side's whole ones, so the join keys hold first and last word and a common last word
+    alone brings nothing together.
     """
     from ..functions.text import first_token, last_token, tokens
 
-    a = left.select(F.col(left_id).alias("__id"), F.col(left_key).alias("__k")).where(F.size(tokens(F.col("__k"))) >= 2)
-    b = right.select(F.col(right_key).alias("__c")).distinct()
-    miss = a.join(b, F.col("__k") == F.col("__c"), "left_anti")
-    miss = miss.select("__id", first_token(F.col("__k")).alias("__f"), last_token(F.col("__k")).alias("__l"))
-    c = b.where(F.size(tokens(F.col("__c"))) >= 2).select("__c", first_token(F.col("__c")).alias("__g"), last_token(F.col("__c")).alias("__m"))
-    met = miss.join(c, (F.col("__l") == F.col("__m")) & (F.startswith("__f", "__g") | F.startswith("__g", "__f")))
-    return met.groupBy("__id").agg(F.min("__c").alias(right_key)).withColumnRenamed("__id", left_id)
+    a = left.select(F.col(left_id).alias("id"), F.col(left_key).alias("k")).where(F.size(tokens(F.col("k"))) >= 2)
+    b = right.select(F.col(right_key).alias("c")).distinct()
+    miss = a.join(b, F.col("k") == F.col("c"), "left_anti")
+    miss = miss.select("id", first_token(F.col("k")).alias("first"), last_token(F.col("k")).alias("last"))
+    names = b.where(F.size(tokens(F.col("c"))) >= 2).select("c", first_token(F.col("c")).alias("first"), last_token(F.col("c")).alias("last"))
+    prefixes = lambda df: df.withColumn("first", F.explode(F.transform(F.sequence(F.lit(1), F.length("first")), lambda n: F.left("first", n))))
+    shorter = prefixes(miss).join(names, ["first", "last"])
+    longer = miss.join(prefixes(names), ["first", "last"])
+    return shorter.select("id", "c").unionByName(longer.select("id", "c")).groupBy("id").agg(F.min("c").alias(right_key)).withColumnRenamed("id", left_id)
+
+
+def name_tests(key: Column, query: str) -> list[Column]:
+    """Tiers of people: the query is a word of the key, starts a word, stands in it."""
+    from ..functions.text import tokens
+
+    words = tokens(key)
+    return [F.array_contains(words, query), F.exists(words, lambda w: F.startswith(w, F.lit(query))), F.contains(key, F.lit(query))]
+
+
+def code_tests(code: Column, title: Column, query: str) -> list[Column]:
+    """Tiers of courses: the query starts the code, stands in it, stands in the title."""
+    return [F.startswith(code, F.lit(query)), F.contains(code, F.lit(query)), F.contains(title, F.lit(query))]
 
 
 def tier(tests: list[Column]) -> Column:
@@ -110,5 +121,24 @@ def date_window(df: DataFrame, date: Column, now: Column, months: int | None, sk
     return df.where(upper & (date >= F.date_sub(now, 30 * months)))
 
 
-def random_row(df: DataFrame, seed: int) -> DataFrame:
-    return df.orderBy(F.rand(seed)).limit(1)
+def random_row(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """The row whose md5 of seed and key is least: as good as random, and the same however the rows are dealt."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(1)
+
+
+def ranked(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first rows in order with their place, rank, from 1 and without ties.  Only the limited rows are numbered."""
+    return top(df, order, limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+
+
+#: Orders of a list of reviews; undated and unrated ones come last in each.
+REVIEW_ORDERS = ("newest", "oldest", "highest", "lowest")
+
+
+def review_page(df: DataFrame, course: Column, date: Column, quality: Column, row_id: str, chosen: str = "__all__", mode: str = "newest", offset: int = 0, limit: int = 10) -> DataFrame:
+    """A page of the reviews of one course, or of all (`__all__`), in one of REVIEW_ORDERS, then as stored."""
+    order = dict(zip(REVIEW_ORDERS, (F.desc_nulls_last(date), F.asc_nulls_last(date), F.desc_nulls_last(quality), F.asc_nulls_last(quality))))
+    if mode not in order:
+        raise ValueError(f"mode must be one of {REVIEW_ORDERS}")
+    rows = df if chosen == "__all__" else df.where(course == chosen)
+    return page(rows, [order[mode], F.col(row_id)], offset, limit)

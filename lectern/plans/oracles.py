@@ -42,16 +42,25 @@ SELECT CASE WHEN k IS NULL THEN 'neutral' WHEN k >= 4 THEN 'high' WHEN k >= 3 TH
 n AS (SELECT DISTINCT p_name FROM part), m AS (SELECT * FROM l WHERE f || ' ' || g NOT IN (SELECT p_name FROM n))
 SELECT p_partkey, min(p_name) AS linked FROM m JOIN n ON split_part(p_name, ' ', -1) = g AND p_name LIKE '% %' AND (starts_with(f, split_part(p_name, ' ', 1)) OR starts_with(split_part(p_name, ' ', 1), f)) GROUP BY p_partkey""",
     "blend_rating": f"WITH {_BLEND} SELECT person, CASE WHEN a_count > 0 THEN a_rating END AS a_rating, CASE WHEN b_count > 0 THEN b_rating END AS b_rating, avg_rating, total FROM bl",
-    "leaderboard": f"""WITH {_BLEND} SELECT name, n_name AS category, avg_rating, a_count, b_count, total FROM bl JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-WHERE r_name = 'EUROPE' AND a_count >= 3 AND b_count >= 3 AND b_rating IS NOT NULL ORDER BY avg_rating DESC NULLS LAST, total DESC, name LIMIT 10""",
+    "leaderboard": f"""WITH {_BLEND} SELECT row_number() OVER (ORDER BY avg_rating DESC NULLS LAST, total DESC, name) AS rank, name, n_name AS category, avg_rating, a_count, b_count, total
+FROM bl JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE' AND a_count >= 3 AND b_count >= 3 AND b_rating IS NOT NULL ORDER BY rank LIMIT 10""",
+    "leaderboard_lenient": f"""WITH {_BLEND} SELECT row_number() OVER (ORDER BY avg_rating DESC NULLS LAST, total DESC, name) AS rank, name, n_name AS category, avg_rating, a_count, b_count, total
+FROM bl JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'AFRICA' AND total >= 5 ORDER BY rank LIMIT 10""",
+    "random_row": f"""WITH {_BLEND} SELECT person, name FROM bl WHERE a_count >= 3 ORDER BY md5('42:' || person), person LIMIT 1""",
+    "review_orders": " UNION ALL ".join(
+        f"SELECT * FROM (SELECT '{c}' AS course, '{mode}' AS mode, event_id, event_type, value FROM events WHERE '{c}' IN ('__all__', event_type) ORDER BY {order} NULLS LAST, event_id LIMIT 10 OFFSET 10)"
+        for c in ("click", "__all__") for mode, order in (("newest", "ts DESC"), ("oldest", "ts"), ("highest", "value DESC"), ("lowest", "value"))
+    ),
     "search_index": f"""WITH a AS (SELECT *, 0 AS priority FROM supplier WHERE s_suppkey % 2 = 0), b AS (SELECT *, 1 AS priority FROM supplier WHERE s_name NOT IN (SELECT s_name FROM a)),
 u AS (SELECT *, {_FOLD.format(x="replace(s_name, '#', ' ')")} AS key FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE s_nationkey <> 7),
 r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY priority, s_suppkey) AS rn FROM u) SELECT s_suppkey, priority, key, {_SLUG.format(x="key")} AS slug FROM r WHERE rn = 1""",
     "search_person": """WITH t AS (SELECT p_partkey, p_name AS name, p_size AS total, CASE WHEN list_contains(string_split(lower(p_name), ' '), 'gear') THEN 1
   WHEN len(list_filter(string_split(lower(p_name), ' '), lambda w: starts_with(w, 'gear'))) > 0 THEN 2 WHEN contains(lower(p_name), 'gear') THEN 3 END AS tier FROM part)
 SELECT * FROM t WHERE tier IS NOT NULL ORDER BY tier, total DESC, p_partkey LIMIT 20""",
-    "search_code": """WITH t AS (SELECT p_partkey, CASE WHEN starts_with(lower(p_brand), 'brand#1') THEN 1 WHEN contains(lower(p_brand), '#2') THEN 2 WHEN contains(lower(p_name), 'o') THEN 3 END AS tier FROM part)
-SELECT tier, count(*) AS n, min(p_partkey) AS first FROM t WHERE tier IS NOT NULL GROUP BY tier""",
+    "search_code": """WITH p AS (SELECT p_partkey, lower(p_type) || ' ' || lower(p_brand) AS code, lower(p_name) AS title FROM part),
+t AS (SELECT p_partkey, CASE WHEN starts_with(code, 'ring') THEN 1 WHEN contains(code, 'ring') THEN 2 WHEN contains(title, 'ring') THEN 3 END AS tier,
+  CASE WHEN starts_with(code, 'pro') THEN 1 WHEN contains(code, 'pro') THEN 2 WHEN contains(title, 'pro') THEN 3 END AS prefix FROM p)
+SELECT tier, prefix, count(*) AS n, min(p_partkey) AS first FROM t GROUP BY tier, prefix""",
     "review_list": "SELECT event_id, event_type, value FROM events WHERE event_type = 'click' ORDER BY ts DESC NULLS LAST, event_id LIMIT 10 OFFSET 10",
     "course_list": "SELECT event_type, min(event_id) AS first_row FROM events GROUP BY event_type",
     "profile_nested": f"""WITH {_ANSWERS}, h AS (SELECT person, line, term, count(*) AS completed, sum(k) AS ws FROM ans GROUP BY ALL),
@@ -76,7 +85,7 @@ SELECT * FROM (SELECT *, 'top' AS side FROM n ORDER BY n DESC, c_nationkey LIMIT
     "latest_per_key": """WITH r AS (SELECT l_suppkey, l_linenumber, l_orderkey * 100000 + l_partkey AS row_id, year(l_shipdate) AS y FROM lineitem),
 t AS (SELECT l_suppkey, l_linenumber, CASE WHEN row_id % 5 <> 0 THEN CAST(y AS BIGINT) END AS term, row_id FROM r),
 w AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY term DESC NULLS LAST, row_id) AS rn FROM t) SELECT l_suppkey, l_linenumber, term, row_id FROM w WHERE rn = 1""",
-    "text_keys": f"WITH k AS (SELECT doc_id, {_FOLD.format(x='left(text, 40)')} AS key FROM documents) SELECT doc_id, key, {_SLUG.format(x='key')} AS slug FROM k",
+    "text_keys": f"WITH k AS (SELECT doc_id, {_FOLD.format(x="text")} AS key FROM documents) SELECT doc_id, key, {_SLUG.format(x='key')} AS slug FROM k",
     "title_keys": """SELECT p_partkey, list_aggregate(list_transform(regexp_extract_all(lower(p_name || '-' || p_brand), '([a-z]+|[^a-z]+)', 1), lambda x: upper(left(x, 1)) || substring(x, 2)), 'string_agg', '') AS title FROM part""",
     "code_parse": f"""WITH l AS (SELECT p_partkey, {_LABEL} AS label FROM part)
 SELECT p_partkey, nullif(regexp_extract(label, '^([A-Z]+\\d+):\\d+\\s+\\((.+?)\\)', 1), '') AS code, nullif(regexp_extract(label, '^([A-Z]+\\d+):\\d+\\s+\\((.+?)\\)', 2), '') AS title,
@@ -84,7 +93,7 @@ SELECT p_partkey, nullif(regexp_extract(label, '^([A-Z]+\\d+):\\d+\\s+\\((.+?)\\
     "formatters": f"""WITH f AS (SELECT *, {_FRIENDLY} AS friendly FROM orders)
 SELECT o_orderkey, friendly, CAST(regexp_extract(replace(friendly, ',', ''), '^(\\d+)', 1) AS BIGINT) AS parsed, CAST(round_even((o_orderkey % 200) / 2, 0) AS BIGINT) || '%' AS pct, base64(encode('School-' || o_orderkey)) AS id64,
   list_aggregate(list_transform(string_split(lower(o_orderpriority) || ' ' || o_orderstatus, ' '), lambda x: left(x, 1)), 'string_agg', '') AS initials, lower(regexp_replace(o_orderpriority, '[^a-zA-Z0-9]', '_', 'g')) AS file FROM f""",
-    "tag_split": """WITH h AS (SELECT doc_id, replace(left(text, 80), '. ', '--') AS x FROM documents), t AS (SELECT doc_id, list_filter(list_transform(string_split(x, '--'), lambda y: trim(y)), lambda y: y <> '') AS a,
+    "tag_split": """WITH h AS (SELECT doc_id, replace(text, '. ', '--') AS x FROM documents), t AS (SELECT doc_id, list_filter(list_transform(string_split(x, '--'), lambda y: trim(y)), lambda y: y <> '') AS a,
   list_filter(list_transform(string_split(x, ','), lambda y: trim(y)), lambda y: y <> '') AS b FROM h)
 SELECT doc_id, CAST(len(a) AS BIGINT) AS n_dashed, CAST(len(b) AS BIGINT) AS n_comma, array_to_string(b, '|') AS tags FROM t""",
 }

@@ -38,8 +38,13 @@ class Model:
     slugs: DataFrame
 
     def write(self, path: str) -> None:
+        """Rows of one key in one file, and each file sorted by key, so that a lookup reads the row groups that may hold it."""
         for f in fields(self):
-            getattr(self, f.name).write.mode("overwrite").parquet(f"{path}/{f.name}")
+            table = getattr(self, f.name)
+            table.repartition(*LOOKUP[f.name]).sortWithinPartitions(*LOOKUP[f.name], *(["row_id"] if "row_id" in table.columns else [])).write.mode("overwrite").parquet(f"{path}/{f.name}")
+
+
+LOOKUP = {"people": ["key"], "sections": ["key"], "scores": ["courseId", "instructorId"], "reviews": ["key"], "comments": ["courseId", "instructorId"], "person_index": ["key"], "course_index": ["code"], "slugs": ["slug"]}
 
 
 def open_model(spark: SparkSession, path: str) -> Model:
@@ -82,11 +87,11 @@ def build(people: DataFrame, reviews: DataFrame, sections: DataFrame, scores: Da
     a, s, q = R.people(people), R.sections(sections), R.scores(scores)
     b = source_b(s, q)
     linked = link(a, b).withColumn("b_count", F.coalesce("b_count", F.lit(0))).withColumn("college", college_of(F.col("department")))
-    linked = linked.withColumn("total", F.col("num_ratings") + F.col("b_count")).withColumn("avg_rating", F.bround(N.blend(F.col("rating"), F.col("num_ratings"), F.col("b_rating"), F.col("b_count")), 2))
+    linked = linked.withColumn("total", F.col("num_ratings") + F.col("b_count")).withColumn("avg_rating", N.round_binary(N.blend(F.col("rating"), F.col("num_ratings"), F.col("b_rating"), F.col("b_count")), 2))
     b_first = O.keep_first(s.where("key is not null"), ["key"], [F.col("row_id")]).select("key", F.col("department").alias("b_department"), "row_id")
     known = linked.select("key", "name", F.col("b_department"), "rating", "avg_rating", "total", F.lit(0).alias("priority"), "row_id")
     only = b_first.join(linked.select("key"), "key", "left_anti").join(b.select("key", "b_rating", "b_count"), "key", "left")
-    only = only.select("key", X.title_case(F.col("key")).alias("name"), "b_department", F.lit(None).cast("double").alias("rating"), F.bround("b_rating", 2).alias("avg_rating"), F.coalesce("b_count", F.lit(0)).alias("total"), F.lit(1).alias("priority"), "row_id")
+    only = only.select("key", X.title_case(F.col("key")).alias("name"), "b_department", F.lit(None).cast("double").alias("rating"), N.round_binary(F.col("b_rating"), 2).alias("avg_rating"), F.coalesce("b_count", F.lit(0)).alias("total"), F.lit(1).alias("priority"), "row_id")
     both = known.unionByName(only)
     index = O.keep_first(both.where("b_department is not null"), ["key"], [F.col("priority"), F.col("row_id")])
     # A's later rows overwrite earlier ones, B's rows only fill gaps
@@ -121,41 +126,60 @@ def colleges(m: Model, least: int = 5) -> DataFrame:
     return O.value_counts(m.people, "college").where((F.col("n") >= least) & (F.col("college") != V.OTHER)).select("college").orderBy("college")
 
 
+def shown_ratings() -> tuple[Column, Column]:
+    """Both sources' ratings as they are shown: A's only with a count and a rating above 0, B's only with a count."""
+    a = F.when((F.col("num_ratings") > 0) & (F.col("rating") > 0), N.round_binary(F.col("rating"), 2))
+    b = F.when((F.col("b_count") > 0) & F.col("b_rating").isNotNull(), N.round_binary(F.col("b_rating"), 2))
+    return a, b
+
+
 def _card(df: DataFrame) -> DataFrame:
-    has_a, has_b = F.col("num_ratings") > 0, F.col("b_count") > 0
+    a, b = shown_ratings()
     return df.select(
-        "name", F.coalesce("b_department", "department").alias("dept"), F.when(has_a, F.bround("rating", 2)).alias("rating_a"), F.when(has_b, F.bround("b_rating", 2)).alias("rating_b"), "avg_rating",
-        F.col("num_ratings").alias("reviews_a"), F.col("b_count").alias("reviews_b"), "total", "url", "college", "row_id",
+        "name", F.coalesce("b_department", "department").alias("dept"), a.alias("rating_a"), b.alias("rating_b"), "avg_rating",
+        F.col("num_ratings").alias("reviews_a"), F.col("b_count").alias("reviews_b"), "total", "url", "college", *(c for c in ("rank",) if c in df.columns),
     )
 
 
 def leaderboard(m: Model, college: str, limit: int = 10, min_reviews: int = 10) -> DataFrame:
+    """The best-rated people of a college with their rank.  Lenient colleges ask for five answers in all, the others for min_reviews
+    of each source."""
     if college in V.LENIENT:
         good = F.col("total") >= 5
     else:
         good = (F.col("num_ratings") >= min_reviews) & (F.col("b_count") >= min_reviews) & F.col("b_rating").isNotNull()
     rows = m.people.where((F.col("college") == college) & good)
-    return _card(O.top(rows, [F.desc_nulls_last("avg_rating"), F.desc("total"), F.col("row_id")], limit)).drop("college", "row_id")
+    return _card(O.ranked(rows, [F.desc_nulls_last("avg_rating"), F.desc("total"), F.col("row_id")], limit)).drop("college")
 
 
 def random_person(m: Model, seed: int, least: int = 3) -> DataFrame:
-    """One row with at least so many answers; none if there is none."""
-    return _card(O.random_row(m.people.where(F.col("total") >= least), seed)).drop("row_id")
+    """One person with at least so many ratings of source A; none if there is none."""
+    return _card(O.random_row(m.people.where(F.col("num_ratings") >= least), "row_id", seed))
+
+
+def reviews(m: Model, key: str, course: str = "__all__", mode: str = "newest", offset: int = 0, limit: int = 10) -> DataFrame:
+    """A page of a person's reviews; dates that cannot be read come last."""
+    mine = m.reviews.where(F.col("key") == key)
+    when = F.coalesce(N.read_date(F.col("date")).cast("timestamp"), F.try_to_timestamp("date"))
+    found = O.review_page(mine, F.col("course"), when, N.number(F.col("quality")), "row_id", course, mode, offset, limit)
+    shown = [X.attribute(F.col(c)).alias(c) for c in ("attendance", "textbook", "online_class")]
+    return found.select("row_id", "course", N.show_date(F.col("date")).alias("date"), N.number(F.col("quality")).alias("quality"), "grade", *shown, X.split_tags(F.col("tags"), ",").alias("tags"), "comment")
+
+
+def grades(m: Model, key: str) -> DataFrame:
+    """Shares of the grades that a person's reviews name, in their order; texts that stand for none are left out."""
+    return O.ordered_share(m.reviews.where(F.col("key") == key), "grade", list(V.GRADES), list(V.NO_GRADE))
 
 
 def search(m: Model, query: str, kind: str = "professor", limit: int = 3) -> DataFrame:
     """Tiered matches; queries of under two characters find nothing.  Terms are literal, not patterns."""
     q = " ".join(query.lower().split())
     if kind == "course":
-        code, title = F.lower("code"), F.lower("title")
-        tests = [F.startswith(code, F.lit(q)), F.contains(code, F.lit(q)), F.contains(title, F.lit(q))]
-        found = O.tiered_top(m.course_index, tests, [F.col("row_id")], limit if len(q) >= 2 else 0)
+        found = O.tiered_top(m.course_index, O.code_tests(F.lower("code"), F.lower("title"), q), [F.col("row_id")], limit if len(q) >= 2 else 0)
         return found.select(F.lit("course").alias("type"), "code", F.col("title").alias("name"), F.col("department").alias("dept"))
     q = m.people.sparkSession.range(1).select(X.name_key(F.lit(query)).alias("q")).first().q  # folded as names are
-    words = X.tokens(F.col("key"))
-    tests = [F.array_contains(words, q), F.exists(words, lambda w: F.startswith(w, F.lit(q))), F.contains(F.col("key"), F.lit(q))]
-    found = O.tiered_top(m.person_index, tests, [F.desc("total"), F.col("priority"), F.col("row_id")], limit if len(q) >= 2 else 0)
-    return found.select(F.lit("professor").alias("type"), "name", F.col("b_department").alias("dept"), F.when(F.col("avg_rating") > 0, F.bround("avg_rating", 2)).alias("rating"))
+    found = O.tiered_top(m.person_index, O.name_tests(F.col("key"), q), [F.desc("total"), F.col("priority"), F.col("row_id")], limit if len(q) >= 2 else 0)
+    return found.select(F.lit("professor").alias("type"), "name", F.col("b_department").alias("dept"), F.when(F.col("avg_rating") > 0, N.round_binary(F.col("avg_rating"), 2)).alias("rating"))
 
 
 def profile(m: Model, slug: str) -> DataFrame:
@@ -163,16 +187,17 @@ def profile(m: Model, slug: str) -> DataFrame:
     text = F.lit(" ".join(slug.lower().strip().replace("-", " ").split()))
     key = m.slugs.sparkSession.range(1).join(m.slugs.where(F.col("slug") == slug.lower().strip()), F.lit(True), "left").select(F.coalesce("key", text).alias("key"))
     a = O.keep_first(m.people.join(F.broadcast(key), "key"), ["key"], [F.col("row_id")])
-    a = a.select("key", F.coalesce("matched_key", "key").alias("b_key"), "name", F.coalesce("b_department", "department").alias("dept"), F.when(F.col("num_ratings") > 0, F.bround("rating", 2)).alias("rating_a"), F.when(F.col("b_count") > 0, F.bround("b_rating", 2)).alias("rating_b"), "avg_rating", F.bround("again", 1).alias("again"), F.bround("difficulty", 2).alias("difficulty"), "total", "url", F.lit(0).alias("priority"))
+    shown_a, shown_b = shown_ratings()
+    a = a.select("key", F.coalesce("matched_key", "key").alias("b_key"), "name", F.coalesce("b_department", "department").alias("dept"), shown_a.alias("rating_a"), shown_b.alias("rating_b"), "avg_rating", N.round_binary(F.col("again"), 1).alias("again"), N.round_binary(F.col("difficulty"), 2).alias("difficulty"), "total", "url", F.lit(0).alias("priority"))
     b = m.person_index.where("priority = 1").join(F.broadcast(key), "key")
     b = b.select("key", F.col("key").alias("b_key"), "name", F.col("b_department").alias("dept"), F.lit(None).cast("double").alias("rating_a"), F.col("avg_rating").alias("rating_b"), "avg_rating", F.lit(None).cast("double").alias("again"), F.lit(None).cast("double").alias("difficulty"), "total", F.lit(None).cast("string").alias("url"), "priority")
     head = O.keep_first(a.unionByName(b), ["key"], [F.col("priority")]).drop("priority")
     mine = O.keep_first(m.sections.withColumnRenamed("key", "b_key").join(head.select("b_key"), "b_key", "left_semi"), SECTION, [F.col("row_id")])
     counts = {k: F.col(f"count_{k}") for k in N.ANSWERS}
     score = F.struct(F.col("row_id"), F.coalesce("question", F.lit("")).alias("question"), *(F.coalesce(F.col(f"count_{k}"), F.lit(0)).alias(f"count_{k}") for k in N.ANSWERS), F.coalesce("mean_stored", F.lit(0.0)).alias("mean_stored"), N.answer_mean(counts).alias("mean_computed"), F.coalesce("median", F.lit(0.0)).alias("median"), F.coalesce("std_dev", F.lit(0.0)).alias("std_dev"), F.col("completed"))
-    listed = m.scores.groupBy(*SECTION).agg(F.sort_array(F.collect_list(score)).alias("scores"))
     ids = mine.select(*SECTION).distinct()
-    listed = listed.join(ids, same_section(listed, ids), "left_semi")
+    asked = m.scores.join(F.broadcast(ids), same_section(m.scores, ids), "left_semi")  # one person's sections
+    listed = asked.groupBy(*SECTION).agg(F.sort_array(F.collect_list(score)).alias("scores"))
     full = mine.join(listed, same_section(mine, listed), "left").select(mine["b_key"], F.struct((-mine["termId"]).alias("order"), mine["row_id"], mine["courseId"], mine["termId"], F.coalesce("termTitle", F.lit("")).alias("term"), F.coalesce("displayName", F.lit("")).alias("name"), F.coalesce("section", F.lit("")).alias("section"), F.coalesce("enrollment", F.lit(0)).alias("enrollment"), "scores").alias("c"))
     # the newest term first, missing terms last
     courses = full.groupBy("b_key").agg(F.sort_array(F.collect_list(F.struct(F.col("c.order").isNull().alias("last"), "c"))).alias("courses")).select("b_key", F.col("courses.c").alias("courses"))

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.numbers import number, positive, percent, whole
 from ..functions.text import collapse, name_key, nullif_blank
-from ..plans.values import SKIPPED
+from ..plans.values import SKIPPED, SOURCES
 
 #: Texts that stand for a missing value in the CSV inputs.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -35,8 +35,21 @@ def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFr
     return na_normalise(spark.read.schema(text_schema(columns)).option("header", True).option("multiLine", True).option("escape", '"').csv(path))
 
 
+def read_numbered_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
+    """read_csv with row_id, the row's number in the order of the files' names and then of their lines, however Spark deals the
+    files to tasks: a file with quoted line breaks is read by one task, whose counter rises along it."""
+    raw = spark.read.schema(text_schema(columns)).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    names = sorted(r.f for r in raw.select(F.col("_metadata.file_path").alias("f")).distinct().collect())  # names of files
+    place = spark.createDataFrame(list(enumerate(names)), "place long, file string")
+    in_task = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = raw.select("*", F.col("_metadata.file_path").alias("file"), in_task.alias("at"))
+    joined = rows.join(F.broadcast(place), "file") if len(names) > 1 else rows.withColumn("place", F.lit(0).cast("long"))
+    return na_normalise(joined.select((F.shiftleft("place", 33) + F.col("at")).alias("row_id"), *columns))
+
+
 def with_row_id(df: DataFrame) -> DataFrame:
-    """A row number in file order: unique, increasing along the scan; operators that keep the first row order by it."""
+    """A row number in the order in which df is read: unique, increasing along the scan.  For tables of one file or in memory;
+    read_numbered_csv numbers several files."""
     return df.withColumn("row_id", F.monotonically_increasing_id())
 
 
@@ -69,6 +82,18 @@ def valid_keys(raw: DataFrame, keys: list[str]) -> DataFrame:
     return raw.select(*(F.col(c).try_cast("bigint").alias(c) if c in keys else F.col(c) for c in raw.columns)).na.drop(subset=keys)
 
 
+def report_list(sections: DataFrame, base: str, now: Column, months: int | None = None, skip: int = 0, limit: int | None = None) -> DataFrame:
+    """The reports worth reading: sections with readable ids, ended within the window, the first `limit` of them as stored, with
+    the address of each report."""
+    from ..functions.numbers import read_date, report_url
+    from ..operators.core import date_window
+
+    good = valid_keys(sections, ["courseId", "instructorId", "termId"])
+    good = date_window(good.withColumn("ends", read_date(F.col("termEndDate"))), F.col("ends"), now, months, skip)
+    some = good if limit is None else good.orderBy("row_id").limit(limit)
+    return some.select("row_id", "courseId", "instructorId", "termId", report_url(base, F.col("courseId"), F.col("instructorId"), F.col("termId")).alias("url"))
+
+
 # ---------------------------------------------------------------- recorded pages of nested extracts
 
 ENTITY_NODE = "struct<id:string,legacyId:bigint,firstName:string,lastName:string,department:string,school:struct<id:string,legacyId:bigint,name:string>,avgRating:double,numRatings:bigint,avgDifficulty:double,wouldTakeAgainPercent:double,teacherRatingTags:array<struct<tagName:string,tagCount:bigint>>>"
@@ -112,6 +137,18 @@ def review_rows(pages: DataFrame, json: str, parent: str) -> DataFrame:
     )
 
 
+def known_source(key: str) -> tuple[int, str]:
+    """(id, name) of a known source: the id is the `school` of entity_rows."""
+    if key not in SOURCES:
+        raise ValueError(f"unknown source {key!r}; known are {', '.join(SOURCES)}")
+    return SOURCES[key]
+
+
+def page_numbers(spark: SparkSession, total: int, per_page: int) -> DataFrame:
+    """The pages that a source of `total` rows has, as its first page's count tells."""
+    return spark.range(1, -(-total // per_page) + 1).toDF("page")
+
+
 def worth_fetching(people: DataFrame, count: str = "num_ratings", node: str = "node_id") -> DataFrame:
     """Parents whose children are worth a scan: with a node and a count that is neither missing nor zero."""
     return people.where(F.col(node).isNotNull() & ~F.coalesce(F.col(count), F.lit("0")).isin("0", "N/A", ""))
@@ -131,7 +168,7 @@ def first_count(cells: Column) -> Column:
 def grid_rows(cells: DataFrame) -> DataFrame:
     """(report_id, row_idx, col_idx, value) -> report_id, row_idx, label, cells."""
     rows = cells.groupBy("report_id", "row_idx").agg(F.sort_array(F.collect_list(F.struct("col_idx", "value"))).alias("c"))
-    return rows.select("report_id", "row_idx", F.trim(F.get("c.value", F.lit(0))).alias("label"), F.slice("c.value", 2, 1_000_000).alias("cells"))
+    return rows.select("report_id", "row_idx", F.trim(F.get("c.value", F.lit(0))).alias("label"), F.slice("c.value", F.lit(2), F.size("c.value")).alias("cells"))
 
 
 def grid_scores(cells: DataFrame, skipped: tuple[str, ...] = SKIPPED) -> DataFrame:

@@ -4,7 +4,8 @@
   path   a folder of files page-<n>.json: one partition for each page number (page-numbered APIs), or
   path and chain=true: pages linked by their cursors, read one after another in one partition (cursor APIs).
 Each row is (page int, body string); bodies are parsed by the readers' from_json schemas.  A page that is missing or broken
-gives a row in errors rather than a failed scan when option errors=keep.
+gives a row in errors rather than a failed scan when option errors=keep.  The data source opens the files itself, so its path
+must be one that every executor sees as a local folder; recorded_pages() reads the same files from any store with Spark's reader.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import json
 import os
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -77,6 +79,15 @@ class RecordedPages(DataSource):
         return _Pages(dict(self.options))
 
 
-#: Known sources by key: id and name, given to scans as options.
+def recorded_pages(spark: SparkSession, path: str, chain: bool = False) -> DataFrame:
+    """page, body of the files page-<n>.json below path, read by Spark; with chain, up to the first page that has no next one."""
+    files = spark.read.option("wholetext", True).text(f"{path}/page-*.json").select("value", F.col("_metadata.file_name").alias("name"))
+    pages = files.select(F.regexp_extract("name", r"page-(\d+)\.json", 1).cast("int").alias("page"), F.col("value").alias("body"))
+    if not chain:
+        return pages
+    last = pages.where(~F.col("body").rlike(r'"hasNextPage"\s*:\s*true')).agg(F.coalesce(F.min("page"), F.lit(2**31 - 1)).alias("last"))
+    return pages.crossJoin(F.broadcast(last)).where("page <= last").drop("last")  # one row
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(RecordedPages)

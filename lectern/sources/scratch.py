@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,14 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a local one only where that is unset."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir), deleted when the driver's JVM ends.  Where
+    the setting is missing, a local session gets a temporary one; any other is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/lectern/{tag}-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
+    out = f"{found.rstrip('/')}/lectern/{tag}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+    return out

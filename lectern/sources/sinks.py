@@ -31,13 +31,30 @@ def document(df: DataFrame, head: dict[str, Column] | None = None) -> DataFrame:
     return df.select(F.to_json(F.struct(*(v.alias(k) for k, v in (head or {}).items()), *df.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    document(df).write.mode("overwrite").text(path)
+def write_json(df: DataFrame, path: str, head: dict[str, Column] | None = None) -> None:
+    document(df, head).write.mode("overwrite").text(path)
+
+
+def export_document(people: DataFrame, name: str, head: dict[str, Column]) -> DataFrame:
+    """One row: the head's constants, the counts of export_summary, and the people as an array in order of row_id.  The whole export
+    in one value, as its readers want it; large ones are written with write_json, a line for each person."""
+    listed = F.sort_array(F.collect_list(F.struct("row_id", *(c for c in people.columns if c != "row_id")))).alias(name)
+    return people.agg(*(v.alias(k) for k, v in head.items()), *export_counts(), listed)
+
+
+def export_counts(reviews: str = "reviews") -> list[Column]:
+    """Aggregates: total, with_ratings, with_reviews, n_reviews."""
+    return [
+        F.count("*").alias("total"), F.count_if(F.col("num_ratings") > 0).alias("with_ratings"), F.count_if(F.size(reviews) > 0).alias("with_reviews"),
+        F.coalesce(F.sum(F.greatest(F.size(reviews), F.lit(0))), F.lit(0)).cast("bigint").alias("n_reviews"),
+    ]
 
 
 def export_summary(people: DataFrame, reviews: str = "reviews") -> DataFrame:
-    """total, with_ratings, n_reviews of an export."""
-    return people.agg(F.count("*").alias("total"), F.count_if(F.col("num_ratings") > 0).alias("with_ratings"), F.coalesce(F.sum(F.size(reviews)), F.lit(0)).cast("bigint").alias("n_reviews"))
+    """The counts of an export, and the means of rating and difficulty of rated people, and of `again` where it is known."""
+    rated = F.col("num_ratings") > 0
+    mean = lambda c, good: F.avg(F.when(good, F.col(c)))
+    return people.agg(*export_counts(reviews), F.count_if(~rated).alias("without_ratings"), mean("rating", rated).alias("rating"), mean("difficulty", rated).alias("difficulty"), mean("again", rated & (F.col("again") >= 0)).alias("again"))
 
 
 def display_row(number: Column) -> Column:
@@ -47,3 +64,14 @@ def display_row(number: Column) -> Column:
 
 def display_tags(tags: Column) -> Column:
     return F.array_join(tags, "; ")
+
+
+def export_rows(people: DataFrame) -> DataFrame:
+    """People as an export shows them: ratings with one decimal, unknown shares as `N/A`, tags joined."""
+    shown = {"rating": display_row(F.col("rating")), "again": display_row(F.coalesce(F.col("again"), F.lit(-1.0))), "difficulty": display_row(F.col("difficulty")), "tags": display_tags(F.col("tags"))}
+    return people.select(*(shown[c].alias(c) if c in shown else F.col(c) for c in people.columns if c != "reviews"))
+
+
+def capped(df: DataFrame, array: str, most: int) -> DataFrame:
+    """df with at most so many children in the array, the first ones."""
+    return df.withColumn(array, F.slice(array, 1, most))

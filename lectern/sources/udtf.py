@@ -8,6 +8,9 @@ from html.parser import HTMLParser
 import pyarrow as pa
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import strip_question
 
 
 class _Comments(HTMLParser):
@@ -56,7 +59,7 @@ class _Comments(HTMLParser):
             text = " ".join("".join(self.link_text if self.linked else self.cell_text).split())
             question = " ".join(self.question.split())
             if text and question:
-                self.rows.append((question.removeprefix("Q:").strip(), text))
+                self.rows.append((question, text))
 
     def handle_data(self, data: str) -> None:
         if self.into == "strong":
@@ -68,6 +71,7 @@ class _Comments(HTMLParser):
 
 
 def comments_of(html: str | None) -> list[tuple[str, str]]:
+    """(question as it stands, comment) of each comment of a page."""
     parser = _Comments()
     parser.feed(html or "")
     parser.close()
@@ -82,4 +86,5 @@ def comment_rows(pages: DataFrame, url: str = "course_url", html: str = "html")
             found = [(u, q, c) for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for q, c in comments_of(h)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.string()) for i in range(3)], names=["course_url", "question", "comment"])
 
-    return pages.select(url, html).mapInArrow(read, "course_url string, question string, comment string")
+    found = pages.select(url, html).mapInArrow(read, "course_url string, question string, comment string")
+    return found.select("course_url", strip_question(F.col("question")).alias("question"), "comment")

@@ -117,3 +117,41 @@ def test_keys_are_idempotent(spark):
             assert r.k == r.k2 and r.s == r.s2
 
     check()
+
+
+def test_round_binary_is_that_of_exact_values(spark):
+    import random
+
+    rng = random.Random(6)
+    values = [2.675, 0.125, 4.345, 1.005, 2.5, 0.0, -2.675, -0.125, 1e9 + 0.125, 0.145, 0.285] + [rng.choice([rng.random() * 5, rng.randrange(5000) / 1000, rng.randrange(40) / 8, (rng.randrange(50) / 10 + rng.randrange(500) / 100) / 2]) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+    for digits in (0, 1, 2, 3):
+        got = [r.r for r in df.select(N.round_binary(F.col("v"), digits).alias("r")).collect()]
+        assert got == [*(float(round(v, digits)) for v in values), None]
+
+
+def test_grid_rows_of_any_width(spark):
+    from lectern.sources import readers as R
+
+    cells = spark.createDataFrame([(1, 0, i, str(i)) for i in range(30)], "report_id int, row_idx int, col_idx int, value string")
+    assert len(R.grid_rows(cells).first().cells) == 29
+    plan = R.grid_rows(cells)._jdf.queryExecution().analyzed().toString()
+    assert "1000000" not in plan
+
+
+def test_random_row_does_not_depend_on_partitions(spark):
+    df = spark.range(200).withColumnRenamed("id", "k")
+    assert {O.random_row(df.repartition(n), "k", 5).first().k for n in (1, 3, 8)} == {O.random_row(df, "k", 5).first().k}
+    assert len({O.random_row(df, "k", s).first().k for s in range(6)}) > 2
+
+
+def test_review_page_orders(spark):
+    df = spark.createDataFrame([(0, "a", "2024-01-02", 1.0), (1, "b", None, None), (2, "a", "2024-01-03", 3.0), (3, "a", "2024-01-01", 2.0)], "row_id int, c string, d string, q double")
+    ids = lambda **k: [r.row_id for r in O.review_page(df, F.col("c"), N.read_date(F.col("d")), F.col("q"), "row_id", **k).collect()]
+    assert ids() == [2, 0, 3, 1] and ids(mode="oldest") == [3, 0, 2, 1] and ids(mode="highest") == [2, 3, 0, 1] and ids(mode="lowest") == [0, 3, 2, 1]
+    assert ids(chosen="b") == [1] and ids(chosen="a", offset=1, limit=1) == [0]
+    try:
+        ids(mode="best")
+        raise AssertionError
+    except ValueError:
+        pass

@@ -88,13 +88,56 @@ def test_profile(model):
 
 def test_random(model):
     assert M.random_person(model, 1).count() == 1 and M.random_person(model, 1, 10**9).count() == 0
+    # source A's ratings count, not the sum: five for José Álvarez, whose sum is 17
+    assert {M.random_person(model, seed, 6).first().name for seed in range(12)} == {"Mar Villar", "Ann Solo"}
+
+
+def test_rows_are_numbered_by_file(spark, tmp_path):
+    for i, n in enumerate((3, 1, 400, 2)):
+        (tmp_path / f"part-{i}.csv").write_text("course_url,question,comment\n" + "".join(f'u{i},q,"c {j}\nmore"\n' for j in range(n)))
+    got = {}
+    for size in ("128m", "1k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got[size] = [(r.course_url, r.comment) for r in R.read_numbered_csv(spark, str(tmp_path), R.COMMENTS).orderBy("row_id").collect()]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [(f"u{i}", f"c {j}\nmore") for i, n in enumerate((3, 1, 400, 2)) for j in range(n)]
+    assert got["128m"] == got["1k"] == want
+
+
+def test_pages_of_any_store(spark, tmp_path):
+    from lectern.sources.replay import recorded_pages
+
+    for i in (1, 2, 3, 10):
+        (tmp_path / f"page-{i}.json").write_text(json.dumps({"data": {"pageInfo": {"hasNextPage": i < 3}}}))
+    assert sorted(r.page for r in recorded_pages(spark, str(tmp_path)).collect()) == [1, 2, 3, 10]
+    assert sorted(r.page for r in recorded_pages(spark, str(tmp_path), chain=True).collect()) == [1, 2, 3]
+    assert [r.page for r in R.page_numbers(spark, 1001, 500).collect()] == [1, 2, 3] and R.page_numbers(spark, 0, 500).count() == 0
+    with pytest.raises(ValueError):
+        R.known_source("nowhere")
+
+
+def test_stream_stops_and_resumes(spark, tmp_path):
+    """A run that ends between files leaves what it wrote; the next takes only the rest."""
+    from lectern.streaming.appends import append_new
+
+    rows = lambda a, b: spark.range(a, b).selectExpr("id", "timestamp_seconds(1704067200 + id) as t")
+    rows(0, 10).coalesce(1).write.parquet(str(tmp_path / "in"))
+    args = (spark, str(tmp_path / "in"), rows(0, 1).schema, ["id"], "t", str(tmp_path / "out"), str(tmp_path / "cp"))
+    first = append_new(*args)
+    first.processAllAvailable()
+    first.stop()
+    rows(5, 20).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    append_new(*args).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(20))
 
 
 HTML = '<table class="table x"><th><strong>Q: Good?</strong></th><tbody><tr><td>1</td><td><a>a  b\nc</a></td></tr><tr><td>2</td><td>plain</td></tr><tr><td>3</td></tr><tr><td>4</td><td> </td></tr></tbody></table><table><tr><td>1</td><td>no</td></tr></table><table class="table"><tbody><tr><td>1</td><td>no question</td></tr></tbody></table>'
 
 
 def test_comment_pages(spark):
-    assert comments_of(HTML) == [("Good?", "a b c"), ("Good?", "plain")] and comments_of(None) == []
+    assert comments_of(HTML) == [("Q: Good?", "a b c"), ("Q: Good?", "plain")] and comments_of(None) == []
     df = spark.createDataFrame([("u", HTML), ("v", None)], "course_url string, html string")
     assert [tuple(r) for r in comment_rows(df).collect()] == [("u", "Good?", "a b c"), ("u", "Good?", "plain")]
 
