@@ -34,7 +34,7 @@ from .common import discard, materialize, partitions
 
 ROW = ", ".join(f"{c} {'long' if i < 2 else 'binary'}" for i, c in enumerate(K.LM_ROW))
 #: A bucket's task gets about so many entries.
-ENTRIES = 2_500_000
+ENTRIES = 1_500_000
 
 
 def _entries(packed: str) -> Column:

@@ -64,6 +64,20 @@ def tidy():
         pass
 
 
+def lean(task):
+    """A function of one group that leaves nothing behind in its worker once it has answered."""
+    from functools import wraps
+
+    @wraps(task)
+    def run(*args):
+        tidy()
+        out = task(*args)
+        tidy()
+        return out
+
+    return run
+
+
 def as_bytes(column):
     """A string column as Python bytes, nulls as None."""
     return column.cast(pa.binary()).to_pylist()
@@ -163,9 +177,9 @@ def count_rows(batches, buckets):
     tidy()
 
 
+@lean
 def frequent(table, least, most):
     """The keys of one bucket counted more than `least` times; the `most` most frequent of them if there are more."""
-    tidy()
     keys, counts = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in table.column(1).to_pylist()]), return_counts=True)
     hot = np.flatnonzero(counts > least)
     if len(hot) > most:
@@ -225,9 +239,9 @@ def need(a, b):
     return (3 * (a + b) + 6) // 7
 
 
+@lean
 def list_pairs(table, targets):
     """One bucket's lists -> distinct (left chunk, right set) that may hold a link; -1 stands for the chunk itself."""
-    tidy()
     rid, chunk, size, q, pos = [], [], [], [], []
     for head, qs, ps, own in zip(*(table.column(c).to_pylist() for c in ("head", "q", "pos", "own"))):
         k = int.from_bytes(head[:4], "little")
@@ -312,6 +326,7 @@ def pack_pairs(left, right, targets):
     return pa.table({"target": pa.array(full, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
 
+@lean
 def merge_pairs(table):
     got = [np.frombuffer(x, np.int64).reshape(2, -1) for x in table.column("blob").to_pylist()]
     left, right = unique_pairs(*np.concatenate(got, axis=1))
@@ -750,10 +765,10 @@ def totals_of(keys, counts):
     return np.add.reduceat(counts[order], np.flatnonzero(first)), inner
 
 
+@lean
 def word_totals(table, buckets):
     """One bucket of words: a number for each, frequent ones first, and its total, sent back to each block in the order in which
     it asked.  c and d, on one row: the tokens and the words of the bucket that are learned from."""
-    tidy()
     blocks, bucket = table.column("block").to_pylist(), table.column("bucket")[0].as_py()
     keys = [np.cumsum(unplanes(x, 8)) for x in table.column("a").to_pylist()]
     counts = np.concatenate([unplanes(x, 4) for x in table.column("b").to_pylist()]).astype(np.int64)
@@ -774,17 +789,22 @@ class Trigrams:
     """
 
     def __init__(self, words, numbers, n, buckets):
-        at, starts = scored(n)
+        self.at, starts = scored(n)
         self.ends = starts + n + 2
-        every = np.sort(np.r_[at, self.ends])
-        bits = WORD_BITS
-        packed = (words[every - 2] << 2 * bits) | (words[every - 1] << bits) | words[every]
+        bits, every = WORD_BITS, np.ones(len(words), bool)
+        every[starts] = every[starts + 1] = False
+        every = np.flatnonzero(every)
+        packed = words[every - 2] << bits
+        packed |= words[every - 1]
+        packed <<= bits
+        packed |= words[every]
         order = np.argsort(packed, kind="stable")
-        s = packed[order]
-        first = np.r_[True, s[1:] != s[:-1]]
-        self.which = np.empty(len(words), np.int64)
-        self.which[every[order]] = np.cumsum(first) - 1
-        self.at, self.packed = at, s[first]
+        packed = packed[order]
+        first = np.r_[True, packed[1:] != packed[:-1]]
+        self.which = np.empty(len(words), np.int32)
+        self.which[every[order]] = np.cumsum(first, dtype=np.int32) - 1
+        self.packed = packed[first]
+        del every, order, packed, first
         pair = self.packed >> bits
         new = np.r_[True, pair[1:] != pair[:-1]]
         self.pair, pairs = np.cumsum(new) - 1, pair[new]
@@ -796,11 +816,11 @@ class Trigrams:
         self.buckets = runs(bucket[self.pair][self.order])
 
 
+@lean
 def trigram_asks(table, buckets):
     """A block and the numbers and totals of its words -> the block with its words in the order of their numbers (d: the numbers,
     f: the totals), and for each bucket that it has trigrams of: the trigrams' numbers, each as far as it differs from the
     one before, and their counts."""
-    tidy()
     cols = {c: table.column(c).to_pylist() for c in LM_ROW}
     rows = sorted(range(len(cols["block"])), key=lambda i: cols["bucket"][i])
     head = rows[0]
@@ -842,9 +862,9 @@ def rising(d, new):
     return total - total[at] + d[at]
 
 
+@lean
 def trigram_totals(table):
     """One bucket of pairs: the totals of the trigrams (a) and of the pairs (b) that each block asked for, in its order."""
-    tidy()
     tri, pair, counts, sizes = [], [], [], []
     for a, b, c, d in zip(*(table.column(x).to_pylist() for x in "abcd")):
         u = np.cumsum(unplanes(a, 5).astype(np.int64))
@@ -868,6 +888,7 @@ def trigram_totals(table):
     return pa.Table.from_batches([binary_rows(rows, LM_ROW)])
 
 
+@lean
 def score_block(table, schema, buckets, total, kinds, mu):
     """One block: build the part of the automaton that its pieces walk through, and run every piece through it.
 
@@ -877,7 +898,6 @@ def score_block(table, schema, buckets, total, kinds, mu):
     word is that of the last two words, so a walk's steps need not wait for each other: they are taken for all tokens at
     once, each from its own state down the failure arcs to the first state with an arc over the word.
     """
-    tidy()
     cols = {c: table.column(c).to_pylist() for c in LM_ROW}
     rows = sorted(range(len(cols["block"])), key=lambda i: cols["bucket"][i])
     head = rows[0]
