@@ -67,13 +67,16 @@ def round_binary(value: Column, digits: int) -> Column:
     if not 0 <= digits <= 7:
         raise ValueError("digits must be 0 to 7")
     ten, split = float(10**digits), float(2**27 + 1)
-    high = value * split - (value * split - value)
-    p = value * ten
-    lacks = (high * ten - p) + (value - high) * ten
-    near = F.rint(p)
-    # at a half, rint takes the even side; the exact product may lie on the other one
-    moved = F.when((p - near == 0.5) & (lacks > 0), near + 1).when((p - near == -0.5) & (lacks < 0), near - 1)
-    return F.coalesce(moved, near) / ten
+
+    def once(v: Column) -> Column:
+        high = v * split - (v * split - v)
+        p = v * ten
+        lacks = (high * ten - p) + (v - high) * ten
+        near = F.rint(p)
+        # at a half, rint takes the even side; the exact product may lie on the other one
+        return F.when((p - near == 0.5) & (lacks > 0), near + 1).when((p - near == -0.5) & (lacks < 0), near - 1).otherwise(near) / ten
+
+    return F.get(F.transform(F.array(value.cast("double")), once), F.lit(0))  # the value is computed once
 
 
 def score_band(value: Column) -> Column:

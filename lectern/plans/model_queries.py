@@ -30,7 +30,7 @@ def model(spark: SparkSession, d: str) -> M.Model:
     at = (spark.sparkContext.applicationId, d)
     if at not in _GOLD:
         path = scratch(spark, "gold")
-        M.build(*(raw(spark, d, n) for n in ("people", "reviews", "sections", "scores", "comments"))).write(path)
+        M.build(*(raw(spark, d, n) for n in ("people", "reviews", "sections", "scores", "comments")), path=path)
         _GOLD[at] = path
     return M.open_model(spark, _GOLD[at])
 

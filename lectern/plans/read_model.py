@@ -38,13 +38,19 @@ class Model:
     slugs: DataFrame
 
     def write(self, path: str) -> None:
-        """Rows of one key in one file, and each file sorted by key, so that a lookup reads the row groups that may hold it."""
         for f in fields(self):
-            table = getattr(self, f.name)
-            table.repartition(*LOOKUP[f.name]).sortWithinPartitions(*LOOKUP[f.name], *(["row_id"] if "row_id" in table.columns else [])).write.mode("overwrite").parquet(f"{path}/{f.name}")
+            write_gold(getattr(self, f.name), path, f.name)
 
 
-LOOKUP = {"people": ["key"], "sections": ["key"], "scores": ["courseId", "instructorId"], "reviews": ["key"], "comments": ["courseId", "instructorId"], "person_index": ["key"], "course_index": ["code"], "slugs": ["slug"]}
+LOOKUP = {"people": ["key"], "source_b": ["key"], "sections": ["key"], "scores": ["courseId", "instructorId"], "reviews": ["key"], "comments": ["courseId", "instructorId"], "person_index": ["key"], "course_index": ["code"], "slugs": ["slug"]}
+
+
+def write_gold(df: DataFrame, path: str, name: str) -> DataFrame:
+    """df as a gold table, read back: rows of one key in one file, and each file sorted by key, so that a lookup reads the row
+    groups that may hold it."""
+    order = [*LOOKUP[name], *(["row_id"] if "row_id" in df.columns else [])]
+    df.repartition(*LOOKUP[name]).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/{name}")
+    return df.sparkSession.read.parquet(f"{path}/{name}")
 
 
 def open_model(spark: SparkSession, path: str) -> Model:
@@ -82,12 +88,18 @@ def link(people: DataFrame, b: DataFrame) -> DataFrame:
     return keyed.join(b.withColumnRenamed("key", "matched_key"), "matched_key", "left")
 
 
-def build(people: DataFrame, reviews: DataFrame, sections: DataFrame, scores: DataFrame, comments: DataFrame) -> Model:
-    """The model of five raw tables of text columns, each with row_id in file order."""
-    a, s, q = R.people(people), R.sections(sections), R.scores(scores)
-    b = source_b(s, q)
+def build(people: DataFrame, reviews: DataFrame, sections: DataFrame, scores: DataFrame, comments: DataFrame, path: str | None = None) -> Model:
+    """The model of five raw tables of text columns, each with row_id in file order.  With a path, every table is written there as
+    soon as it is made and read by the ones that follow from it, so none is computed twice."""
+
+    def kept(name: str, df: DataFrame) -> DataFrame:
+        return df if path is None else write_gold(df, path, name)
+
+    a, s, q = R.people(people), kept("sections", R.sections(sections)), kept("scores", R.scores(scores))
+    b = kept("source_b", source_b(s, q))
     linked = link(a, b).withColumn("b_count", F.coalesce("b_count", F.lit(0))).withColumn("college", college_of(F.col("department")))
     linked = linked.withColumn("total", F.col("num_ratings") + F.col("b_count")).withColumn("avg_rating", N.round_binary(N.blend(F.col("rating"), F.col("num_ratings"), F.col("b_rating"), F.col("b_count")), 2))
+    linked = kept("people", linked)
     b_first = O.keep_first(s.where("key is not null"), ["key"], [F.col("row_id")]).select("key", F.col("department").alias("b_department"), "row_id")
     known = linked.select("key", "name", F.col("b_department"), "rating", "avg_rating", "total", F.lit(0).alias("priority"), "row_id")
     only = b_first.join(linked.select("key"), "key", "left_anti").join(b.select("key", "b_rating", "b_count"), "key", "left")
@@ -102,7 +114,8 @@ def build(people: DataFrame, reviews: DataFrame, sections: DataFrame, scores: Da
     courses = O.keep_first(parsed, ["code"], [F.col("row_id")])
     typed = comments.select("row_id", N.url_key(F.col("course_url")).alias("k"), "question", "comment").select("row_id", F.col("k.course").alias("courseId"), F.col("k.person").alias("instructorId"), F.col("k.term").alias("termId"), "question", "comment")
     typed = typed.where(X.collapse(F.col("comment")) != "")
-    return Model(linked, s, q, reviews.withColumn("key", X.name_key(F.col("professor_name"))), typed, index, courses, slugs)
+    rated = reviews.withColumn("key", X.name_key(F.col("professor_name")))
+    return Model(linked, s, q, kept("reviews", rated), kept("comments", typed), kept("person_index", index), kept("course_index", courses), kept("slugs", slugs))
 
 
 # ---------------------------------------------------------------- queries
