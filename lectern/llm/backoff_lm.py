@@ -63,7 +63,7 @@ def lm_scores(docs: DataFrame, mu: float = 20.0, held_out_of: int = 10) -> DataF
     both = blocks.unionByName(words.select("block", "bucket", "a", "b", *none))
     asked = materialize(both.groupBy("block").applyInArrow(lambda t: K.trigram_asks(t, buckets), ROW), "trigrams")
     discard(blocks, words)
-    replies = asked.where("bucket >= 0").groupBy("bucket").applyInArrow(K.trigram_totals, ROW)
+    replies = asked.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: K.trigram_totals(t), ROW)
     each = [("rid", T.LongType()), ("doc_id", kind), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
     arrow = pa.schema([(c, to_arrow_type(t)) for c, t in each])
     schema = T.StructType([T.StructField(c, t) for c, t in each])

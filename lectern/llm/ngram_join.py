@@ -111,7 +111,7 @@ def links(sets: DataFrame, size: Size) -> tuple[DataFrame, DataFrame]:
     placed = whole.join(small(places, n_places), "rid", "left").withColumn("chunk", F.coalesce("chunk", "rid")).withColumn("copies", F.coalesce("copies", F.lit(1)))
     entries = placed.select("rid", "toks", "chunk").mapInArrow(lambda it: K.list_rows(it, buckets, hot_keys, hot_counts), "bucket long, head binary, q binary, pos binary, own binary")
     packed = entries.groupBy("bucket").applyInArrow(lambda t: K.list_pairs(t, buckets), "target long, blob binary")
-    pairs, n_pairs = sized(packed.groupBy("target").applyInArrow(K.merge_pairs, "chunk long, rid long"), "pairs")
+    pairs, n_pairs = sized(packed.groupBy("target").applyInArrow(lambda t: K.merge_pairs(t), "chunk long, rid long"), "pairs")
     salts, n_salts = sized(pairs.groupBy("chunk").agg(F.ceil(F.count("*") / 4096).cast("int").alias("salts"), F.max((F.col("rid") < 0).cast("int")).alias("own")), "salts")
     right = pairs.where("rid >= 0").join(small(salts.select("chunk", "salts"), n_salts), "chunk")
     right = right.select("rid", F.col("chunk").alias("to"), F.pmod(F.xxhash64("rid"), "salts").cast("int").alias("salt"))

@@ -62,3 +62,10 @@ def test_stages_and_run(spark, tables):
 
 def test_stage_list():
     assert [n for n, _ in P.STAGES] == ["quality_rules", "ngram_jaccard_join", "benchmark_decontamination", "source_mixing", "sharding"]
+
+
+def test_empty_tables(spark, tmp_path):
+    for n in ("documents", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet").limit(0).write.parquet(str(tmp_path / f"{n}.parquet"))
+    out = P.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns[-2:] == ["slot", "shard"]
