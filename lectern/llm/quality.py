@@ -25,9 +25,8 @@ SIGNS = {
     "dup_lines": "n_lines > 3 and n_dup_lines > 0.5 * n_lines",
     "word_chars": "n_words > 0 and (word_chars < 2 * n_words or word_chars > 15 * n_words)",
 }
-#: A host's verdict is bad where its shrunk rate is at least LIFT times the prior's mean; the prior weighs as many rows as STRONGEST
-#: at most, which it does where hosts differ no more than chance makes them.
-LIFT, STRONGEST = 1.5, 1000.0
+#: A host's verdict is bad where its shrunk rate is at least LIFT times the prior's mean.
+LIFT = 1.5
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -45,8 +44,8 @@ def host_verdicts(signed: DataFrame) -> DataFrame:
     """host and bad_<rule> for each rule: shrunk rate (failures + m s) / (rows + s) of at least LIFT m.
 
     The prior's mean m is that of the hosts' rates; its strength s comes from their variance beyond what chance gives hosts of
-    their sizes: s = m (1 - m) / (variance - mean of m (1 - m) / rows) - 1, within 1 and STRONGEST, and STRONGEST where that
-    difference is not positive.  So a host of few rows, or hosts that differ by chance, condemn nobody.
+    their sizes: s = m (1 - m) / (variance - mean of m (1 - m) / rows) - 1, at least 1.  Where that difference is not positive
+    the prior is m itself, and no host stands out.  So few rows, or differences by chance, condemn nobody.
     """
     counts = signed.groupBy("host").agg(F.count("*").alias("rows"), *(F.sum(F.col(f"sign_{r}").cast("long")).alias(f"f_{r}") for r in SIGNS))
     rates = {r: F.col(f"f_{r}") / F.col("rows") for r in SIGNS}
@@ -57,8 +56,8 @@ def host_verdicts(signed: DataFrame) -> DataFrame:
         m = F.col(f"m_{r}")
         spread = m * (1 - m)
         v = F.col(f"q_{r}") - m * m - spread * F.col("chance")
-        s = F.when(v > 0, F.greatest(F.lit(1.0), F.least(F.lit(STRONGEST), spread / v - 1))).otherwise(STRONGEST)
-        return ((F.col(f"f_{r}") + m * s) / (F.col("rows") + s) >= LIFT * m).alias(f"bad_{r}")
+        s = F.greatest(F.lit(1.0), spread / v - 1)
+        return F.when(v > 0, (F.col(f"f_{r}") + m * s) / (F.col("rows") + s) >= LIFT * m).otherwise(False).alias(f"bad_{r}")
 
     return both.select("host", *(bad(r) for r in SIGNS))
 

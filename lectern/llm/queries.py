@@ -11,7 +11,7 @@ from .licenses import GAP, LEAST, license_rows, template_rows
 from .line_runs import MIN_WORDS, line_report
 from .mixing import EPOCHS, LANG_WEIGHTS, OTHER_LANG, SEED, SHARE_PERCENT, mixture
 from .ngram_join import ngram_components
-from .quality import LIFT, SIGNS, STRONGEST, quality_verdicts
+from .quality import LIFT, SIGNS, quality_verdicts
 from .secrets import secret_spans
 from .shards import TABLE, assign_shards, lookup_table, shard_names
 from .url_filter import url_verdicts
@@ -184,8 +184,8 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BI
 def _host_rule(r: str) -> str:
     """SQL of one rule's verdict on a host, as in quality.host_verdicts."""
     v = f"(q_{r} - m_{r} * m_{r} - m_{r} * (1 - m_{r}) * chance)"
-    s = f"(CASE WHEN {v} > 0 THEN greatest(1.0, least({STRONGEST}, m_{r} * (1 - m_{r}) / {v} - 1)) ELSE {STRONGEST} END)"
-    return f"(f_{r} + m_{r} * {s}) / (n + {s}) >= {LIFT} * m_{r} AS bad_{r}"
+    s = f"greatest(1.0, m_{r} * (1 - m_{r}) / {v} - 1)"
+    return f"CASE WHEN {v} > 0 THEN (f_{r} + m_{r} * {s}) / (n + {s}) >= {LIFT} * m_{r} ELSE false END AS bad_{r}"
 
 
 OP9_SQL = rf"""
