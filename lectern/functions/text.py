@@ -135,10 +135,18 @@ def strip_question(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"^Q:", ""))
 
 
-def attribute(value: Column) -> Column:
-    """How an attribute of a review is shown: yes, no and true, false in any case as Yes and No, others as they are, blank as null."""
-    low = F.lower(F.trim(value))
-    return F.when(low.isin("yes", "true"), "Yes").when(low.isin("no", "false"), "No").otherwise(nullif_blank(F.trim(value)))
+#: For each attribute of a review, the text besides `true` that stands for yes, and how yes and anything else are shown.
+ATTRIBUTES = {
+    "attendance": ("Mandatory", "Mandatory", "Not Mandatory"),
+    "textbook": ("Yes", "Yes", "No"),
+    "online_class": ("Yes", "Online", "In-Person"),
+}
+
+
+def attribute(value: Column, name: str) -> Column:
+    """How an attribute of a review is shown; missing and `N/A` are not."""
+    yes, shown, other = ATTRIBUTES[name]
+    return F.when(F.coalesce(value, F.lit("")).isin("", "N/A"), None).when(value.isin("true", yes), shown).otherwise(other)
 
 
 def file_name(text: Column) -> Column:

@@ -75,12 +75,16 @@ def _course_search(q: str) -> str:
     return f"SELECT * FROM (SELECT 'course' AS type, code, title AS name, department AS dept, '{q}' AS q FROM (SELECT *, {tier} AS tier FROM course_index) WHERE tier IS NOT NULL ORDER BY tier, row_id LIMIT 25)"
 
 
-def _attribute(x: str) -> str:
-    return f"CASE WHEN lower(trim({x})) IN ('yes', 'true') THEN 'Yes' WHEN lower(trim({x})) IN ('no', 'false') THEN 'No' ELSE nullif(trim({x}), '') END"
+_ATTRIBUTES = {"attendance": ("Mandatory", "Mandatory", "Not Mandatory"), "textbook": ("Yes", "Yes", "No"), "online_class": ("Yes", "Online", "In-Person")}
+
+
+def _attributes(x: str) -> str:
+    """SQL of the three attributes as shown, of the column or expression x (with the attribute's name where it has {})."""
+    return ", ".join(f"CASE WHEN coalesce({x.format(c)}, '') IN ('', 'N/A') THEN NULL WHEN {x.format(c)} IN ('true', '{yes}') THEN '{shown}' ELSE '{other}' END AS {c}" for c, (yes, shown, other) in _ATTRIBUTES.items())
 
 
 def _reviews(course: str, mode: str, order: str) -> str:
-    return f"""SELECT * FROM (SELECT row_id, course, CASE WHEN d IS NULL THEN date ELSE strftime(d, '%B %-d, %Y') END AS date, quality, CASE WHEN grade <> 'N/A' THEN grade END AS grade, {", ".join(f"{_attribute(c)} AS {c}" for c in ("attendance", "textbook", "online_class"))},
+    return f"""SELECT * FROM (SELECT row_id, course, CASE WHEN d IS NULL THEN date ELSE strftime(d, '%B %-d, %Y') END AS date, quality, CASE WHEN grade <> 'N/A' THEN grade END AS grade, {_attributes("{}")},
   array_to_string(list_filter(list_transform(string_split(tags, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS tags, comment, '{course}' AS chosen, '{mode}' AS mode
   FROM (SELECT * REPLACE (try_cast(quality AS DOUBLE) AS quality), try_cast(date AS DATE) AS d FROM rev WHERE key = 'zoe k4' AND '{course}' IN ('__all__', course)) ORDER BY {order} NULLS LAST, row_id LIMIT 10)"""
 
@@ -126,6 +130,6 @@ SELECT 'mit' AS source, t.*, row_number() OVER (ORDER BY row_id) - 1 AS place, n
     "append_stream": "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY event_type",
     "date_display": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'some day' ELSE strftime(o_orderdate, '%B %-d, %Y') END AS shown FROM orders",
     "exact_rounding": f"WITH v AS (SELECT DISTINCT l_orderkey % 1000 AS k FROM lineitem), x AS (SELECT k, CASE k % 3 WHEN 0 THEN k / 8 WHEN 1 THEN k / 200 ELSE k / 7 END AS x FROM v) SELECT k, {rounded('x', 2)} AS rounded FROM x",
-    "review_attributes": f"""SELECT o_orderkey, {_attribute("[' Yes', 'TRUE', 'no', 'false ', 'Mandatory', ' '][o_orderkey % 6 + 1]")} AS shown, 'Why? Q: ' || o_orderkey AS asked,
+    "review_attributes": f"""SELECT o_orderkey, {_attributes("CASE WHEN o_orderkey % 11 <> 0 THEN ['Yes', 'true', 'no', 'Mandatory', 'N/A', '', 'false'][o_orderkey % 7 + 1] END")}, 'Why? Q: ' || o_orderkey AS asked,
   'https://x/report?sp=' || (o_orderkey % 50) || '&sp=' || o_orderkey || '&sp=' || (o_orderkey % 9) AS url, o_orderkey % 50 AS course, o_orderkey AS person, o_orderkey % 9 AS term FROM orders""",
 }

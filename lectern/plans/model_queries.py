@@ -201,11 +201,11 @@ def exact_rounding(spark: SparkSession, d: str) -> DataFrame:
 def review_attributes(spark: SparkSession, d: str) -> DataFrame:
     """Attributes as shown, questions without their mark, and addresses of reports there and back."""
     k = F.col("o_orderkey")
-    word = F.element_at(F.array(*map(F.lit, (" Yes", "TRUE", "no", "false ", "Mandatory", " "))), (k % 6 + 1).cast("int"))
+    word = F.element_at(F.array(*map(F.lit, ("Yes", "true", "no", "Mandatory", "N/A", "", "false"))), (k % 7 + 1).cast("int"))
     url = N.report_url("https://x/report", k % 50, k, k % 9)
     back = N.url_key(url)
     asked = X.strip_question(F.concat(F.when(k % 2 == 0, "Q: ").otherwise(""), F.lit("Why? Q: "), k.cast("string")))
-    return Tables(spark, d).orders.select("o_orderkey", X.attribute(word).alias("shown"), asked.alias("asked"), url.alias("url"), back["course"].alias("course"), back["person"].alias("person"), back["term"].alias("term"))
+    return Tables(spark, d).orders.select("o_orderkey", *(X.attribute(F.when(k % 11 != 0, word), c).alias(c) for c in X.ATTRIBUTES), asked.alias("asked"), url.alias("url"), back["course"].alias("course"), back["person"].alias("person"), back["term"].alias("term"))
 
 
 MODEL_QUERIES: dict[str, Query] = {

@@ -175,7 +175,7 @@ def reviews(m: Model, key: str, course: str = "__all__", mode: str = "newest", o
     mine = m.reviews.where(F.col("key") == key)
     when = F.coalesce(N.read_date(F.col("date")).cast("timestamp"), F.try_to_timestamp("date"))
     found = O.review_page(mine, F.col("course"), when, N.number(F.col("quality")), "row_id", course, mode, offset, limit)
-    shown = [X.attribute(F.col(c)).alias(c) for c in ("attendance", "textbook", "online_class")]
+    shown = [X.attribute(F.col(c), c).alias(c) for c in X.ATTRIBUTES]
     return found.select("row_id", "course", N.show_date(F.col("date")).alias("date"), N.number(F.col("quality")).alias("quality"), "grade", *shown, X.split_tags(F.col("tags"), ",").alias("tags"), "comment")
 
 
