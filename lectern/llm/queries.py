@@ -111,13 +111,13 @@ FROM s LEFT JOIN l USING (doc_id)
 """
 
 
-def _fill(level: str, above: list[str], weight: str, name: str, parents: str) -> str:
+def _fill(level: str, above: list[str], weight: str, name: str, parents: str, epochs: int) -> str:
     """SQL of one level of the budgets: children of each family by capacity for weight, filled as in mixing.leaf_budgets."""
     here = [*above, level]
     part = f"PARTITION BY {', '.join(above)}" if above else ""
     join = " AND ".join(f"k.{c} IS NOT DISTINCT FROM q.{c}" for c in above) or "true"
     return f"""
-{name}_k AS (SELECT {", ".join(here)}, sum(tokens * {EPOCHS}) AS cap, {weight} AS w FROM leaves GROUP BY {", ".join(here)}),
+{name}_k AS (SELECT {", ".join(here)}, sum(tokens * {epochs}) AS cap, {weight} AS w FROM leaves GROUP BY {", ".join(here)}),
 {name}_s AS (SELECT k.*, q.budget, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cap_b,
   coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w_b, sum(w) OVER ({part.replace("BY ", "BY k.").replace(", ", ", k.")}) AS w_all
   FROM {name}_k k JOIN {parents} q ON {join} WINDOW o AS ({("PARTITION BY " + ", ".join("k." + c for c in above)) if above else ""} ORDER BY cap / w, k.{level})),
@@ -127,14 +127,16 @@ def _fill(level: str, above: list[str], weight: str, name: str, parents: str) ->
 
 
 _LANG = "CASE lang " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LANG_WEIGHTS.items()) + f" ELSE {OTHER_LANG} END"
-OP8_SQL = rf"""
+def mixture_sql(epochs: int) -> str:
+    """SQL of mixing.mixture."""
+    return rf"""
 WITH docs AS (SELECT doc_id, lang, source, coalesce(regexp_extract(source, '^([A-Za-z]*)', 1), '') AS domain,
   CAST({_TOKENS.format(x="coalesce(text, '')")} AS BIGINT) AS n_tokens FROM documents),
 leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM docs GROUP BY ALL),
 root AS (SELECT CAST(floor(sum(tokens) * {SHARE_PERCENT} / 100) AS BIGINT) AS budget FROM leaves),
-{_fill("domain", [], "1", "b1", "root")},
-{_fill("lang", ["domain"], _LANG, "b2", "b1")},
-{_fill("source", ["domain", "lang"], "1", "b3", "b2")},
+{_fill("domain", [], "1", "b1", "root", epochs)},
+{_fill("lang", ["domain"], _LANG, "b2", "b1", epochs)},
+{_fill("source", ["domain", "lang"], "1", "b3", "b2", epochs)},
 plan AS (SELECT l.*, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole, budget - CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END * tokens AS rest
   FROM leaves l JOIN b3 USING (domain, lang, source)),
 run AS (SELECT d.*, whole, rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source
@@ -144,6 +146,8 @@ UNION ALL SELECT doc_id, lang, source, n_tokens, CAST(e AS BIGINT) AS epoch FROM
 """
 
 
+OP8_SQL = mixture_sql(EPOCHS)
+
 OP1_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, w[i:i + least(len(w), 5) - 1] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
@@ -207,5 +211,21 @@ FROM s JOIN b ON s.source IS NOT DISTINCT FROM b.source
 """
 
 
+def _over(sql: str, table: str) -> str:
+    """sql over another table of documents."""
+    return sql.replace("FROM documents", f"FROM {table}")
+
+
+#: The five stages of the pipeline, each over what the one before it kept.
+PIPELINE_SQL = f"""
+WITH good AS MATERIALIZED (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM ({OP9_SQL}) WHERE kept)),
+one AS MATERIALIZED (SELECT * FROM good WHERE doc_id IN (SELECT doc_id FROM ({_over(OP1_SQL, "good")}) WHERE component_id = doc_id)),
+clean AS MATERIALIZED (SELECT * FROM one WHERE doc_id NOT IN (SELECT doc_id FROM ({_over(OP4_SQL, "one")}) WHERE contaminated)),
+mixed AS MATERIALIZED (SELECT * FROM clean WHERE doc_id IN (SELECT doc_id FROM ({_over(mixture_sql(1), "clean")}))),
+placed AS ({_over(OP6_SQL, "mixed")})
+SELECT mixed.*, slot, shard FROM mixed JOIN placed USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_ngram_jaccard_join": OP1_SQL, "op3_license_scans": OP3_SQL, "op9_quality_rules": OP9_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_sharding": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_source_mixing": OP8_SQL}
