@@ -13,6 +13,7 @@ from lectern.llm.decontaminate import decontaminate
 from lectern.llm.mixing import take_mixture
 from lectern.llm.ngram_join import keep_one
 from lectern.llm.quality import keep_good
+from lectern.llm.queries import PIPELINE_SQL
 from lectern.llm.shards import assign_shards
 
 
@@ -49,8 +50,8 @@ STAGES = [
     ("sharding", sharding),
 ]
 
-#: The components of the second stage need a fixpoint over all links, the first a fit over hosts: tested by brute force.
-ORACLE_SQL = None
+#: SQL of run()'s rows: that of the five operators, each over what the stage before it kept.
+ORACLE_SQL = PIPELINE_SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
