@@ -121,6 +121,8 @@ WHERE row_id % 7 <> 0 AND termId IS NOT NULL AND CAST(termEndDate AS DATE) BETWE
 SELECT c_mktsegment || CASE WHEN c % 6 <> 0 THEN ' ' || c_name ELSE '' END AS name, CASE WHEN c % 4 <> 0 THEN CAST(CAST((c % 50) / 10 AS DOUBLE) AS VARCHAR) ELSE 'N/A' END AS rating, CASE WHEN c % 7 <> 0 THEN CAST(c % 3 AS VARCHAR) ELSE 'N/A' END AS num_ratings,
   CASE WHEN c % 5 <> 0 THEN CAST(CAST(round_even((c % 202) / 2, 0) AS BIGINT) AS VARCHAR) || '%' END AS would_take_again_pct, CAST(CAST((c % 40) / 10 AS DOUBLE) AS VARCHAR) AS level_of_difficulty, CASE WHEN c % 8 <> 1 THEN 'https://x/' || c END AS professor_url,
   CASE WHEN c % 10 <> 4 THEN 'n' || c END AS node_id, array_to_string(list_transform(tags, lambda x: x.t), '|') AS tags, c % 10 <> 4 AND c % 7 <> 0 AND c % 3 <> 0 AS worth FROM g""",
+    "error_pages": """SELECT CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'Cannot query field "x"' ELSE 'Too many requests' END END AS message, o_orderkey % 5 <> 0 AS has_data, o_orderkey % 6 = 0 AS narrow, count(*) AS n FROM orders GROUP BY ALL""",
+    "page_plan": "SELECT unnest(range(1, CAST(ceil(count(*) / 500) AS BIGINT) + 1)) AS page FROM orders",
     "export_rows": f"WITH {_EXPORT} SELECT row_id, name, num_ratings, {_SHOWN.format('rating')} AS rating, {_SHOWN.format('again')} AS again, {_SHOWN.format('difficulty')} AS difficulty, 'a; b' || row_id AS tags FROM e",
     "export_summary": f"""WITH {_EXPORT} SELECT count(*) AS total, count(*) FILTER (num_ratings > 0) AS with_ratings, count(*) FILTER (num_ratings <= 0) AS without_ratings, count(*) FILTER (n > 0) AS with_reviews, CAST(sum(n) AS BIGINT) AS n_reviews,
   round(avg(rating) FILTER (num_ratings > 0), 9) AS rating, round(avg(difficulty) FILTER (num_ratings > 0), 9) AS difficulty, round(avg(again) FILTER (num_ratings > 0 AND again >= 0), 9) AS again FROM e""",

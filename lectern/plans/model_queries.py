@@ -136,6 +136,20 @@ def entity_pages(spark: SparkSession, d: str) -> DataFrame:
     return people.join(worth, "node_id", "left").select("name", "rating", "num_ratings", "would_take_again_pct", "level_of_difficulty", "professor_url", "node_id", F.array_join("tags", "|").alias("tags"), F.coalesce("worth", F.lit(False)).alias("worth"))
 
 
+def error_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with and without errors and data, by what is to be done with them."""
+    k = F.col("o_orderkey")
+    errors = F.when(k % 3 == 0, F.array(F.struct(F.when(k % 2 == 0, 'Cannot query field "x"').otherwise("Too many requests").alias("message"))))
+    data = F.when(k % 5 != 0, F.struct(k.alias("id")))
+    pages = Tables(spark, d).orders.select("o_orderkey", F.to_json(F.struct(errors.alias("errors"), data.alias("data"))).alias("body"))
+    return R.page_errors(pages, "body").groupBy("message", "has_data", "narrow").agg(F.count("*").alias("n"))
+
+
+def page_plan(spark: SparkSession, d: str) -> DataFrame:
+    """The pages of 500 rows that a source as large as the table of orders has."""
+    return R.page_numbers(spark, Tables(spark, d).orders.count(), 500)
+
+
 def _export(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers with tags and at most three of their reviews, which are orders."""
     t = Tables(spark, d)
@@ -212,6 +226,6 @@ MODEL_QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         model_people, model_leaders, model_leaders_lenient, model_stats, model_colleges, model_random, model_search_people, model_search_courses, model_slugs, profile_head, profile_courses, profile_comments, review_pages, grade_shares,
-        report_list, malformed_rows, entity_pages, export_rows, export_summary, export_document, comment_pages, append_stream, date_display, exact_rounding, review_attributes,
+        report_list, malformed_rows, entity_pages, error_pages, page_plan, export_rows, export_summary, export_document, comment_pages, append_stream, date_display, exact_rounding, review_attributes,
     )
 }

@@ -149,6 +149,15 @@ def page_numbers(spark: SparkSession, total: int, per_page: int) -> DataFrame:
     return spark.range(1, -(-total // per_page) + 1).toDF("page")
 
 
+def page_errors(pages: DataFrame, json: str) -> DataFrame:
+    """pages with the first error that each names (message, null where none), whether it has data all the same, and whether the
+    error says that a field is unknown, so that the page is to be asked for again with fewer fields: narrow."""
+    found = F.from_json(json, "errors array<struct<message:string>>")["errors"]
+    message = F.get(found, F.lit(0))["message"]
+    data = F.get_json_object(json, "$.data")
+    return pages.select("*", message.alias("message"), (data.isNotNull() & (data != "null")).alias("has_data"), F.coalesce(F.contains(message, F.lit("Cannot query field")), F.lit(False)).alias("narrow"))
+
+
 def worth_fetching(people: DataFrame, count: str = "num_ratings", node: str = "node_id") -> DataFrame:
     """Parents whose children are worth a scan: with a node and a count that is neither missing nor zero."""
     return people.where(F.col(node).isNotNull() & ~F.coalesce(F.col(count), F.lit("0")).isin("0", "N/A", ""))
